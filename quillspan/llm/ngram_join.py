@@ -265,8 +265,10 @@ def _verify(num: int, den: int):
         at = np.r_[0, np.cumsum([len(t) for t in tokens])]
         mark = np.zeros(len(vocab), bool)
         order = np.flatnonzero(good)
+        if not len(order):
+            return pairs.loc[good, ["a", "an", "b", "bn"]]
         order = order[np.argsort(a[order], kind="stable")]
-        edge = np.flatnonzero(np.r_[True, a[order][1:] != a[order][:-1]]) if len(order) else np.zeros(0, np.int64)
+        edge = np.flatnonzero(np.r_[True, a[order][1:] != a[order][:-1]])
         for s, e in zip(edge, np.r_[edge[1:], len(order)], strict=True):
             own = flat[at[a[order[s]]] : at[a[order[s]] + 1]]
             mark[own] = True
