@@ -1 +1,9 @@
 """Full-text retrieval and ranking on Spark DataFrames."""
+
+from .functions.analysis import LANGUAGES, Language, language
+from .operators.search import Index, Searcher
+from .plans.query import Query
+from .plans.schema import FieldDef, IndexSchema
+from .sources.store import IndexWriter, open_index
+
+__all__ = ["LANGUAGES", "FieldDef", "Index", "IndexSchema", "IndexWriter", "Language", "Query", "Searcher", "language", "open_index"]
