@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,31 +9,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialize
+
 #: Rows up to which an id list may be broadcast (8 bytes each in a hashed relation of about 64 MB at most).
 BROADCAST_IDS = 500_000
 
 _U = np.uint64
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where the session names none (tests) is one made here."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="quillspan-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: lineage is cut, lost executors cost no rerun."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch_path = path
-    return out
-
-
 def reread(table: DataFrame) -> DataFrame:
     """The same scratch table as a new DataFrame, so that both may meet in one plan."""
     return table.sparkSession.read.schema(table.schema).parquet(table._scratch_path)
