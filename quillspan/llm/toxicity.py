@@ -7,7 +7,7 @@ linear part since sum_{i<j} <v_i, v_j> = ((sum v_i)^2 - sum v_i^2) / 2.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from .common import arrow_bytes, word_hashes
 
 #: Hash space of terms, in bits.
-BITS = 20
+BITS = 32
+_FRONT = np.int64(BITS - 20)
 #: Labelled rows that the fit may gather on the driver: the rows with the least id hash, at most so many.
 MAX_ROWS = 20_000
 #: Association of a term with the label (chi-square, one degree of freedom) from which it enters the model.
@@ -47,10 +48,21 @@ class FactorizationMachine:
     w: np.ndarray
     v: np.ndarray
 
-    def lookup(self) -> np.ndarray:
-        table = np.full(1 << BITS, -1, np.int32)
-        table[self.terms] = np.arange(len(self.terms))
-        return table
+    def finder(self) -> Callable[[np.ndarray], np.ndarray]:
+        """Function from terms to their numbers in the model (-1: not chosen)."""
+        front = np.zeros(1 << 20, bool)
+        front[self.terms >> _FRONT] = True
+
+        def find(term: np.ndarray) -> np.ndarray:
+            out = np.full(len(term), -1, np.int64)
+            maybe = np.flatnonzero(front[term >> _FRONT])
+            at = np.searchsorted(self.terms, term[maybe])
+            at[at == len(self.terms)] = 0
+            hit = self.terms[at] == term[maybe] if len(self.terms) else np.zeros(0, bool)
+            out[maybe[hit]] = at[hit]
+            return out
+
+        return find
 
     def scores(self, n: int, doc: np.ndarray, idx: np.ndarray) -> np.ndarray:
         """Scores of n texts from the (text, chosen term) pairs present."""
@@ -71,15 +83,17 @@ def fit(ids: list[np.ndarray], labels: np.ndarray, rank: int = RANK, epochs: int
         return FactorizationMachine(w0, none, np.zeros(0), np.zeros((0, rank)))
     sizes = np.array([len(x) for x in ids])
     flat, own = np.concatenate(ids), np.repeat(np.arange(n), sizes)
-    df = np.bincount(flat, minlength=1 << BITS).astype(float)
-    hit = np.bincount(flat, labels[own], minlength=1 << BITS)
+    vocab, flat = np.unique(flat, return_inverse=True)
+    df = np.bincount(flat, minlength=len(vocab)).astype(float)
+    hit = np.bincount(flat, labels[own], minlength=len(vocab))
     expect = df * pos / n
     with np.errstate(divide="ignore", invalid="ignore"):
         chi2 = (hit - expect) ** 2 / (df * (pos / n) * (1 - pos / n) * (1 - df / n))
-    terms = np.flatnonzero((df >= 3) & (df < n) & (chi2 >= CHI2))
-    table = np.full(1 << BITS, -1, np.int64)
-    table[terms] = np.arange(len(terms))
-    idx = table[flat]
+    chosen = np.flatnonzero((df >= 3) & (df < n) & (chi2 >= CHI2))
+    terms = vocab[chosen]
+    number = np.full(len(vocab), -1, np.int64)
+    number[chosen] = np.arange(len(chosen))
+    idx = number[flat]
     own, idx = own[idx >= 0], idx[idx >= 0]
     rng = np.random.default_rng(seed)
     m = len(terms)
@@ -133,14 +147,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 cut = np.searchsorted(both >> BITS, np.arange(i, j + 1))
                 for k in range(i, j):
                     out[k] = both[cut[k - i] : cut[k - i + 1]] & ((1 << BITS) - 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x.astype(np.int32).tobytes() for x in out], pa.binary())], names=["id", "label", "terms"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x.astype(np.uint32).tobytes() for x in out], pa.binary())], names=["id", "label", "terms"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(lab), "id")
     kind = dict(docs.dtypes)[id_col]
     got = rows.select("id", "text", "label").mapInArrow(terms, f"id {kind}, label int, terms binary").toArrow().to_pandas()
     got["n"] = got["terms"].map(len)
     got = got.sort_values(["id", "n", "terms"], kind="stable").head(2 * max_rows)
-    ids = [np.frombuffer(t, np.int32).astype(np.int64) for t in got["terms"]]
+    ids = [np.frombuffer(t, np.uint32).astype(np.int64) for t in got["terms"]]
     return fit(ids, got["label"].to_numpy(float))
 
 
@@ -150,11 +164,11 @@ def score_texts(df: DataFrame, model: FactorizationMachine, id_col: str = "doc_i
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        table = model.lookup()
+        find = model.finder()
         for batch in batches:
             score = np.zeros(batch.num_rows)
             for i, j, doc, term in text_terms(batch.column(1)):
-                idx = table[term]
+                idx = find(term)
                 keep = idx >= 0
                 both = np.unique((doc[keep].astype(np.int64) << 32) | idx[keep])
                 score[i:j] = model.scores(j - i, (both >> 32) - i, both & 0xFFFFFFFF)
@@ -178,11 +192,11 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        table = model.lookup()
+        find = model.finder()
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
             for i, j, doc, term in text_terms(batch.column(batch.schema.get_field_index(text_col))):
-                idx = table[term]
+                idx = find(term)
                 sel = idx >= 0
                 both = np.unique((doc[sel].astype(np.int64) << 32) | idx[sel])
                 keep[i:j] = model.scores(j - i, (both >> 32) - i, both & 0xFFFFFFFF) < 0.5
