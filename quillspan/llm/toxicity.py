@@ -22,7 +22,7 @@ _FRONT = np.int64(BITS - 20)
 #: Labelled rows that the fit may gather on the driver: the rows with the least id hash, at most so many.
 MAX_ROWS = 20_000
 #: Association of a term with the label (chi-square, one degree of freedom) from which it enters the model.
-CHI2 = 12.0
+CHI2 = 20.0
 RANK = 4
 
 _SPLIT = np.zeros(256, bool)
@@ -73,7 +73,7 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(ids: list[np.ndarray], labels: np.ndarray, rank: int = RANK, epochs: int = 30, least_steps: int = 1000, rate: float = 0.05, l2: float = 1e-4, seed: int = 7) -> FactorizationMachine:
+def fit(ids: list[np.ndarray], labels: np.ndarray, rank: int = RANK, epochs: int = 30, least_steps: int = 1000, rate: float = 0.05, l2: float = 1e-4, l2_pairs: float = 1e-2, seed: int = 7) -> FactorizationMachine:
     """Fit by mini-batch Adam on distinct term ids per text and 0/1 labels, for so many epochs and steps at least.
     Without both labels the model is a constant."""
     n, pos = len(labels), int(labels.sum())
@@ -100,6 +100,7 @@ def fit(ids: list[np.ndarray], labels: np.ndarray, rank: int = RANK, epochs: int
     p = np.concatenate([[w0], np.zeros(m), rng.normal(0, 0.02, m * rank)])
     g1, g2 = np.zeros_like(p), np.zeros_like(p)
     bounds = np.searchsorted(own, np.arange(n + 1))
+    decay = np.concatenate([np.full(m + 1, l2), np.full(m * rank, l2_pairs)])
     step = 0
     batches = max(1, n // 256)
     for _ in range(max(epochs, -(-least_steps // batches))):
@@ -114,7 +115,7 @@ def fit(ids: list[np.ndarray], labels: np.ndarray, rank: int = RANK, epochs: int
             q = np.bincount(d, (vj * vj).sum(1), len(rows))
             z += 0.5 * ((s * s).sum(1) - q)
             e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[rows]) / len(rows)
-            grad = l2 * p
+            grad = decay * p
             grad[0] = e.sum()
             grad[1 : m + 1] += np.bincount(j, e[d], m)
             gv = e[d][:, None] * (s[d] - vj)
