@@ -81,8 +81,8 @@ def make_postings(docs: DataFrame, schema: IndexSchema, lang: Language | None =
     rows = field_terms(docs, schema, lang).select("doc_num", "sortstring", "dt", *sizes, F.explode(F.concat(*parts)).alias("e"))
     rows = rows.select("doc_num", F.col("e.term").alias("term"), F.col("e.f").alias("f"), "sortstring", "dt", *[f"n_{k}" for k in range(len(scored))])
     counts = [F.sum(F.when(F.col("f") == k, 1)).alias(f"c_{k}") for k in range(len(scored))]
-    keep = [F.first(c).alias(c) for c in ("sortstring", "dt", *[f"n_{k}" for k in range(len(scored))])]
-    got = rows.groupBy("doc_num", "term").agg(*counts, *keep)
+    # what is fixed by the document rides in the key: buffers stay fixed-width, so the aggregation hashes and need not sort
+    got = rows.groupBy("doc_num", "term", "sortstring", "dt", *[f"n_{k}" for k in range(len(scored))]).agg(*counts)
     score = [(F.col(f"c_{k}") / F.sqrt(F.col(f"n_{k}"))) for k in range(len(scored))]
     total = sum((F.coalesce(s, F.lit(0.0)) * F.lit(float(f.weight)) for s, f in zip(score, scored, strict=True)), F.lit(0.0))
     agg = total / F.lit(float(schema.total_weight) or 1.0)

@@ -15,8 +15,8 @@ from ..plans.planner import Plan
 from ..plans.query import Child, Node, Parser, Query
 from ..plans.schema import IndexSchema
 
-#: Page size up to which a page is broadcast to the stored documents; larger pages are joined by shuffle.
-BROADCAST_PAGE = 10_000
+#: Page size up to which the driver holds the page (two numbers a hit); larger pages are joined as tables.
+MAX_PAGE = 10_000
 
 
 @dataclass
@@ -28,6 +28,7 @@ class Index:
     postings: DataFrame
     lang: Language | None = None
     _count: int | None = None
+    _freq: dict[str, int] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         self.lang = self.lang or language(self.schema.language)
@@ -40,9 +41,14 @@ class Index:
 
     def doc_freq(self, terms: list[str]) -> dict[str, int]:
         """Live documents of each term, over all fields; absent terms are left out. One row a query term comes back."""
-        if not terms:
-            return {}
-        return {r[0]: r[1] for r in self.postings.where(F.col("term").isin(terms)).groupBy("term").count().collect()}
+        new = [t for t in terms if t not in self._freq]
+        if new:
+            if len(self._freq) > 100_000:
+                self._freq.clear()
+                new = terms
+            found = {r[0]: r[1] for r in self.postings.where(F.col("term").isin(new)).groupBy("term").count().collect()}
+            self._freq.update({t: found.get(t, 0) for t in new})
+        return {t: self._freq[t] for t in terms if self._freq[t]}
 
     def is_indexed(self, doc_id) -> bool:
         return bool(self.docs.where(F.col("doc_md5") == F.md5(F.lit(str(doc_id)))).limit(1).count())
@@ -152,10 +158,15 @@ class Searcher:
         """
         hits = self.all_hits()
         page = hits.orderBy(*self._order()).offset(self.offset).limit(self.num_results)
-        page = page.withColumn("rank", F.row_number().over(Window.orderBy(*self._order())) + self.offset)
-        small = F.broadcast(page) if self.num_results <= BROADCAST_PAGE else page
         docs = self.index.docs.drop("dt", "sortstring")
-        out = docs.join(small, "doc_num")
+        if self.num_results <= MAX_PAGE:
+            # documents lie in runs of their numbers, so a list of numbers prunes files and row groups where a join can't
+            rows = [(r.doc_num, r.score, self.offset + k) for k, r in enumerate(page.select("doc_num", "score").collect(), 1)]
+            docs = docs.where(F.col("doc_num").isin([r[0] for r in rows]))
+            page = F.broadcast(docs.sparkSession.createDataFrame(rows, "doc_num long, score double, rank int"))
+        else:
+            page = page.withColumn("rank", F.row_number().over(Window.orderBy(*self._order())) + self.offset)
+        out = docs.join(page, "doc_num")
         fields = [F.col(f"f_{f}").alias(f) for f in self.index.schema.stored]
         extra = [self.excerpts(F.col(f"f_{self.excerpt_field}")).alias("excerpt")] if self.excerpt_field else []
         return out.orderBy("rank").select("rank", "doc_key", *fields, "score", *extra)

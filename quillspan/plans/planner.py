@@ -73,7 +73,7 @@ class Plan:
         """(doc_num, keep..., s_i) of each document with a term of the search; s_i is null where slot i has no match."""
         terms = sorted({t for _, t in self.slots})
         rows = postings.where(F.col("term").isin(terms)) if terms else postings.where(F.lit(False))
-        aggs = [F.first(c).alias(c) for c in keep]
+        aggs = []
         for (number, term), i in self.slots.items():
             if term not in self.doc_freq:
                 continue
@@ -88,7 +88,7 @@ class Plan:
             aggs += [F.max(F.when(here, score)).alias(f"s_{i}")]
         if not aggs:
             aggs = [F.count(F.lit(1)).alias("n")]
-        return rows.groupBy("doc_num").agg(*aggs)
+        return rows.groupBy("doc_num", *keep).agg(*aggs)
 
     def present(self, t: Node) -> bool:
         return bool(t.text) and t.text in self.doc_freq

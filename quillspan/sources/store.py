@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.analysis import Language
 from ..operators.compaction import segments_to_merge
-from ..operators.postings import latest, make_docs, make_postings
+from ..operators.postings import make_docs, make_postings
 from ..operators.search import Index
 from ..plans.schema import IndexSchema
 
@@ -160,38 +160,37 @@ class IndexWriter:
         merge = segments_to_merge(self.level, [s["live"] for s in segments]) if segments and self.added else []
         merged, kept = [segments[k]["id"] for k in merge], [s for k, s in enumerate(segments) if k not in merge]
         spark, root = self.spark, self.root
-        if self.added:
-            fresh = latest(reduce(DataFrame.unionByName, self.added))
-            self._write(fresh, f"work/docs-{seg}")
-            fresh = spark.read.parquet(f"{root}/work/docs-{seg}")
-            self._write(make_postings(fresh, self.schema, self.lang), f"work/postings-{seg}")
-        else:
-            fresh = None
+        fresh = None
         gone = [d for d in self.deleted]
-        if fresh is not None and segments:
+        old = _load(spark, root, meta, "docs", [s["id"] for s in segments])
+        dead = _tombs(spark, root, meta)
+        if dead is not None and old is not None:
+            old = old.join(dead, "doc_num", "left_anti")
+        buried = []
+        if self.added:
+            self._write(reduce(DataFrame.unionByName, self.added), f"docs/seg={seg}")
+            fresh = spark.read.parquet(f"{root}/docs/seg={seg}")
+            # of rows with one id all but the last are buried at once: no shuffle of texts
+            last = fresh.groupBy("doc_md5").agg(F.max("doc_num").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+            buried.append(fresh.select("doc_num", "doc_md5").join(last, "doc_md5").where("doc_num < last").select("doc_num"))
             gone.append(fresh.select("doc_md5"))
-        tombs = list(meta["tombs"])
-        if gone and segments:
-            old = _load(spark, root, meta, "docs", [s["id"] for s in segments])
-            dead = _tombs(spark, root, meta)
-            if dead is not None:
-                old = old.join(dead, "doc_num", "left_anti")
-            hit = old.select("doc_num", "doc_md5").join(reduce(DataFrame.union, gone).distinct(), "doc_md5", "left_semi").select("doc_num")
-            hit.write.mode("overwrite").parquet(f"{root}/tombs/t={seg}")
+        if gone and old is not None:
+            buried.append(old.select("doc_num", "doc_md5").join(reduce(DataFrame.union, gone).distinct(), "doc_md5", "left_semi").select("doc_num"))
+        tombs = list(meta["tombs"]) if len(merged) < len(segments) else []
+        if buried:
+            reduce(DataFrame.union, buried).write.mode("overwrite").parquet(f"{root}/tombs/t={seg}")
             tombs.append(seg)
-        now = dict(meta, tombs=tombs)
-        dead = _tombs(spark, root, now)
+            dead = _tombs(spark, root, {"tombs": [*meta["tombs"], seg]})
         if fresh is not None:
-            for table in ("docs", "postings"):
-                out = spark.read.parquet(f"{root}/work/{table}-{seg}")
-                if merged:
-                    part = _load(spark, root, meta, table, merged)
-                    out = out.unionByName(part.join(dead, "doc_num", "left_anti") if dead is not None else part)
-                if table == "postings":
-                    out = out.repartitionByRange(F.col("term"), F.col("doc_num")).sortWithinPartitions("term", "sortstring", "dt", "doc_num")
-                self._write(out, f"{table}/seg={seg}")
+            live = fresh.join(dead, "doc_num", "left_anti")
+            postings = make_postings(live, self.schema, self.lang)
+            if merged:
+                part = {t: _load(spark, root, meta, t, merged).join(dead, "doc_num", "left_anti") for t in ("docs", "postings")}
+                self._write(part["docs"].select(fresh.columns), f"docs/seg={seg}", "append")
+                postings = postings.unionByName(part["postings"])
+            postings = postings.repartitionByRange(F.col("term"), F.col("doc_num")).sortWithinPartitions("term", "sortstring", "dt", "doc_num")
+            self._write(postings, f"postings/seg={seg}")
             kept = [*kept, {"id": seg, "live": 0}]
-            self.files.delete("work")
         counts: dict[int, int] = {}
         ids = [s["id"] for s in kept]
         if ids:
@@ -206,7 +205,7 @@ class IndexWriter:
             "version": self.version + 1,
             "schema": self.schema.to_dict(),
             "segments": [{"id": i, "live": counts.get(i, 0)} for i in ids],
-            "tombs": tombs if len(merged) < len(segments) else [],
+            "tombs": tombs,
             "next_seg": seg + 1,
             "next_doc": max(meta["next_doc"], top),
             "num_docs": sum(counts.values()),
@@ -220,8 +219,8 @@ class IndexWriter:
         self.close()
         return meta
 
-    def _write(self, df: DataFrame, name: str) -> None:
-        writer = df.write.mode("overwrite")
+    def _write(self, df: DataFrame, name: str, mode: str = "overwrite") -> None:
+        writer = df.write.mode(mode)
         if self.max_records:
             writer = writer.option("maxRecordsPerFile", self.max_records)
         writer.parquet(f"{self.root}/{name}")

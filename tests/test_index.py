@@ -76,7 +76,7 @@ def test_segments_deletes_and_locks(spark, root):
     assert commit(spark, root, 1, ["c"]) == 1
     i = open_index(spark, root)
     assert i.num_docs == 21 and count(i, "d3") == 1 and count(i, "d5") == 0 and count(i, "c") == 1
-    assert read_meta(Files(spark, root))["tombs"] == []
+    assert len(read_meta(Files(spark, root))["tombs"]) == 1  # the newest
     commit(spark, root, 2, ["new"], "overwrite")
     assert open_index(spark, root).num_docs == 1
     with pytest.raises(ValueError):
