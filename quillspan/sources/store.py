@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from ..functions.analysis import Language
 from ..operators.compaction import segments_to_merge
-from ..operators.postings import make_docs, make_postings
+from ..operators.postings import DATE_TYPE, make_docs, make_postings
 from ..operators.search import Index
 from ..plans.schema import IndexSchema
+from .document import Document
 
 
 class Files:
@@ -126,6 +127,7 @@ class IndexWriter:
             self.meta = {"segments": [], "tombs": [], "next_seg": old["next_seg"] if old else first, "next_doc": 0, "num_docs": 0, "batches": {}}
         self.added: list[DataFrame] = []
         self.deleted: list[DataFrame] = []
+        self.single: list[Document] = []
 
     def define_field(self, name: str, **flags) -> IndexWriter:
         self.schema.define_field(name, **flags)
@@ -139,6 +141,24 @@ class IndexWriter:
         self.added.append(make_docs(df, self.schema, id_col, columns, dt, sortstring, doc_num, base))
         return self
 
+    def new_doc(self, doc_id) -> Document:
+        return Document(str(doc_id))
+
+    def add_doc(self, doc: Document) -> IndexWriter:
+        """Add or replace one document; those added this way go into one table at the commit."""
+        unknown = set(doc.fields) - set(self.schema.fields)
+        if unknown:
+            raise ValueError(f"fields {sorted(unknown)} aren't defined")
+        if doc.datetime and not self.schema.enable_datetime:
+            raise ValueError("the index has no datetimes")
+        self.schema.frozen = True
+        self.single.append(doc)
+        return self
+
+    def doc_is_indexed(self, doc_id) -> bool:
+        """Whether the published index holds the id."""
+        return bool(self.meta["segments"]) and open_index(self.spark, self.root).is_indexed(doc_id)
+
     def delete_documents(self, ids: DataFrame | Iterable) -> IndexWriter:
         """Delete by id: a DataFrame of one column, or some ids."""
         df = ids if isinstance(ids, DataFrame) else self.spark.createDataFrame([(str(i),) for i in ids], "id string")
@@ -153,6 +173,11 @@ class IndexWriter:
         if not self.open:
             raise RuntimeError("this writer is closed")
         meta = dict(self.meta)
+        if self.single:
+            names = list(self.schema.fields)
+            rows = [(d.doc_id, d.datetime or (0,) * 6, d.sortstring, *[d.get_field(n) for n in names]) for d in self.single]
+            shape = f"__id string, __dt {DATE_TYPE}, __sort string, " + ", ".join(f"{n} string" for n in names)
+            self.add_documents(self.spark.createDataFrame(rows, shape).coalesce(1), "__id", None, "__dt", "__sort")
         if batch and meta["batches"].get(batch[0], -1) >= batch[1]:
             self.close()
             return meta

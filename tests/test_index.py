@@ -125,3 +125,21 @@ def test_html(spark):
     page = '<html><title>A\nB</title><body class="c"><p>One <b>two</b></p></body></html>'
     got = parse_html(spark.createDataFrame([(page,), (None,)], "html string")).select("title", "bodytext").collect()
     assert [tuple(r) for r in got] == [("A\nB", "One two"), ("", "")]
+
+
+def test_documents_by_hand(spark, root):
+    w = IndexWriter(spark, root, "overwrite", enable_datetime=True, enable_sortstring=2).define_field("content", tokenize=True)
+    for k, text in enumerate(["  a \n b ", "a c", None]):
+        w.add_doc(w.new_doc(k).set_field("content", text).set_datetime(2000 + k, 1, 1, 0, 0, 0).set_sortstring("k%d" % k))
+    w.add_doc(w.new_doc(1).set_field("content", "d"))
+    assert w.new_doc(5).set_field("content", " x  y").get_field("content") == "x y" and not w.doc_is_indexed(0)
+    with pytest.raises(ValueError):
+        w.new_doc(1).set_datetime(1, 2)
+    with pytest.raises(ValueError):
+        w.add_doc(w.new_doc(1).set_field("other", "x"))
+    with pytest.raises(ValueError):
+        w.define_field("late")
+    w.commit()
+    i = open_index(spark, root)
+    assert i.num_docs == 3 and count(i, "a", tokenize=True) == 1 and count(i, "d", tokenize=True) == 1
+    assert IndexWriter(spark, root).doc_is_indexed(0)
