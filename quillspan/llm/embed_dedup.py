@@ -105,9 +105,10 @@ def _compare(threshold: float):
     """Pairs of a cell with cosine >= threshold that meet in no earlier table."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches), ignore_index=True)
-        if not len(rows):
+        frames = [b for b in batches if len(b)]
+        if not frames:
             return
+        rows = pd.concat(frames, ignore_index=True)
         rows = rows.sort_values(["key", "bi", "bj", "c"], kind="stable", ignore_index=True)
         key, bi, bj, block, c, t = (rows[n].to_numpy() for n in ("key", "bi", "bj", "block", "c", "t"))
         edge = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])])

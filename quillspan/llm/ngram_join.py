@@ -210,9 +210,10 @@ def _candidates(num: int, den: int):
         return pd.DataFrame(p, columns=["a", "an", "b", "bn"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches), ignore_index=True)
-        if not len(rows):
+        frames = [b for b in batches if len(b)]
+        if not frames:
             return
+        rows = pd.concat(frames, ignore_index=True)
         rows = rows.sort_values(["token", "bi", "bj"], kind="stable")
         token, bi, bj, block = (rows[k].to_numpy() for k in ("token", "bi", "bj", "block"))
         c, n, pos = (rows[k].to_numpy() for k in ("c", "n", "pos"))
