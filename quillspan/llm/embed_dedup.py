@@ -169,3 +169,23 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: st
     out = vecs.select("id", "c").join(info, "c", "left")
     component = F.coalesce("best", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+
+
+def oracle_sql() -> str:
+    """DuckDB SQL of near_duplicate_vectors over `embeddings`: every pair of a label, then reachability."""
+    return """
+WITH RECURSIVE e AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+), ok AS (
+  SELECT * FROM e WHERE label IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda v: v IS NULL OR NOT isfinite(v))) = 0 AND list_aggregate(list_transform(x, lambda v: abs(v)), 'max') > 0
+), l AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM ok a JOIN ok b ON a.label = b.label AND len(a.x) = len(b.x) AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.x, b.x) >= 0.93
+), r AS (
+  SELECT DISTINCT u, u AS v FROM l UNION SELECT r.u, l.v FROM r JOIN l ON l.u = r.v
+), c AS (
+  SELECT u, min(v) AS component_id FROM r GROUP BY u
+), k AS (
+  SELECT u, count(*) AS n_links FROM l GROUP BY u
+)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, coalesce(component_id, vec_id) AS component_id, coalesce(component_id, vec_id) = vec_id AS kept
+FROM e LEFT JOIN k ON k.u = vec_id LEFT JOIN c ON c.u = vec_id"""

@@ -340,3 +340,29 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     info = classes.join(best, "root").select("c", "n", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("similar"), "best")
     out = docs.join(info, ["c", "n"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("similar", F.lit(0)).cast("long").alias("n_similar"), F.coalesce("best", "id").alias("component_id"))
+
+
+def oracle_sql() -> str:
+    """DuckDB SQL of ngram_jaccard_join over `documents`: all pairs that share a shingle, then reachability."""
+    return r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS t FROM documents
+), g AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(t) >= 5 THEN [array_to_string(t[i:i + 4], ' ') for i in range(1, len(t) - 3)] WHEN len(t) > 0 THEN [array_to_string(t, ' ')] ELSE [] END) AS s FROM w
+), n AS (
+  SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id
+), hot AS (
+  SELECT s FROM g GROUP BY s HAVING count(*) > 1
+), p AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS common FROM (SELECT * FROM g SEMI JOIN hot USING (s)) a JOIN (SELECT * FROM g SEMI JOIN hot USING (s)) b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * common >= 80 * (x.n + y.n - common)
+), r AS (
+  SELECT DISTINCT u, u AS v FROM l UNION SELECT r.u, l.v FROM r JOIN l ON l.u = r.v
+), c AS (
+  SELECT u, min(v) AS component_id FROM r GROUP BY u
+), k AS (
+  SELECT u, count(*) AS n_similar FROM l GROUP BY u
+)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(n_similar, 0) AS n_similar, coalesce(component_id, w.doc_id) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN k ON k.u = w.doc_id LEFT JOIN c ON c.u = w.doc_id"""

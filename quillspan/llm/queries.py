@@ -64,7 +64,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_sharding, op2_pii, op3_url_filters, op4_ngram_jaccard_join, op5_decontamination, op6_embedding_near_dedup, op7_token_counts, op8_source_mixing, op9_license_scan, op10_toxicity, pipeline)
 }
 SQL: dict[str, str] = {
+    "op1_sharding": sharding.oracle_sql(),
     "op3_url_filters": url_rules.oracle_sql(),
+    "op4_ngram_jaccard_join": ngram_join.oracle_sql(),
+    "op6_embedding_near_dedup": embed_dedup.oracle_sql(),
     "op8_source_mixing": mixing.oracle_sql(),
     "op9_license_scan": licenses.oracle_sql(),
 }

@@ -168,3 +168,36 @@ def assign_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = out.withColumn("virtual_slot", (record_hash(id_col, "__crc") % slots).cast("int")).drop("__crc")
     return out.withColumn("shard", m.column("virtual_slot")), m
 
+
+
+def oracle_sql(n_shards: int = 16, slots: int = SLOTS) -> str:
+    """DuckDB SQL of shard_documents over `documents` with slots of at most PART_ROWS rows: CRC-32 byte by byte from a
+    table of its remainders, greedy placing of slots by recursion."""
+    zeros = ", ".join(["0"] * n_shards)
+    return f"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(c ORDER BY b) AS t FROM (
+    SELECT b, list_reduce(list_transform(range(9), lambda x: CASE WHEN x = 0 THEN b::UBIGINT ELSE 0::UBIGINT END),
+      lambda a, x: CASE WHEN a & 1 = 1 THEN xor(3988292384::UBIGINT, a >> 1) ELSE a >> 1 END) AS c FROM range(256) r(b))
+), d0 AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents
+), d1 AS (
+  SELECT doc_id, length(hx) // 2 + 1 AS size, xor(4294967295::UBIGINT, list_reduce(
+    list_transform(list_prepend('FFFFFFFF', regexp_extract_all(hx, '..')), lambda x: ('0x' || x)::UBIGINT),
+    lambda a, x: xor(t[(xor(a & 255, x) + 1)::BIGINT], a >> 8)))::BIGINT AS text_crc32 FROM d0, crc_table
+), d2 AS (
+  SELECT *, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || text_crc32), 1, 8))::BIGINT AS h FROM d1
+), s AS (
+  SELECT h % {slots} AS slot, sum(size)::BIGINT AS b FROM d2 GROUP BY 1
+), ranked AS (
+  SELECT slot, b, row_number() OVER (ORDER BY b DESC, slot) AS k FROM s
+), place(k, slot, shard, loads) AS (
+  SELECT 0::BIGINT, -1::BIGINT, -1::BIGINT, [{zeros}]::BIGINT[]
+  UNION ALL
+  SELECT r.k, r.slot, list_position(loads, list_min(loads)) - 1,
+    list_transform(loads, lambda x, i: x + CASE WHEN i = list_position(loads, list_min(loads)) THEN r.b ELSE 0 END)
+  FROM place p JOIN ranked r ON r.k = p.k + 1
+)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard::INTEGER AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY h % {slots}, h, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, NULL::INTEGER AS grown_shard, (h % {slots})::INTEGER AS virtual_slot
+FROM d2 JOIN place ON place.slot = h % {slots}"""
