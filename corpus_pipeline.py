@@ -19,10 +19,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: of each group of linked documents the one with the least id stays."""
-    found = ngram_join.ngram_jaccard_join(docs)
+    """Operator 4: of each group of linked documents the one with the least id stays.
+
+    Rows with a null id always stay, as no id can name them; of rows that repeat an id and its text one stays.
+    """
+    found = materialize(ngram_join.ngram_jaccard_join(docs).select("doc_id", "component_id", "n_shingles"), "found")
     gone = materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    return anti_join_ids(docs, "doc_id", gone).select(docs.columns)
+    kept = anti_join_ids(docs, "doc_id", gone).select(docs.columns)
+    again = materialize(found.where("doc_id = component_id and n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if again.isEmpty():
+        return kept
+    return anti_join_ids(kept, "doc_id", again).unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -359,6 +359,7 @@ def test_pipeline(spark, tmp_path):
     rows = [(i, text(rng.randint(20, 60)), "en", f"s{i % 4}") for i in range(400)]
     rows += [(1000 + k, rows[k][1] + " end", "en", "s1") for k in range(20)] + [(2000 + k, text(20) + " " + leak + " " + text(5), "en", "s2") for k in range(10)]
     rows += [(3000 + k, text(30) + " vilething scumlord " + text(3), "en", "s0") for k in range(300)] + [(4000, None, "en", "s0"), (4001, "", None, None)]
+    rows += [(5000, rows[50][1] + " tail", "en", "s1"), (-1, "twice in here " * 3, "en", "s2"), (-1, "twice in here " * 3, "en", "s2")]
     base = f"file://{tmp_path}"
     spark.createDataFrame([(i, t, g, s, len(t or "")) for i, t, g, s in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{base}/documents.parquet")
     spark.createDataFrame([(i, 1, int(3000 <= i < 4000)) for i, *_ in rows], "doc_id long, quality int, toxic int").write.parquet(f"{base}/labels.parquet")
@@ -374,7 +375,8 @@ def test_pipeline(spark, tmp_path):
             assert d.columns == columns
     seen = [{r.doc_id for r in s.collect()} for s in steps]
     assert seen[0] == {i for i in ids if not 3000 <= i < 4000}
-    assert seen[1] == {i for i in seen[0] if not 1000 <= i < 1020}
+    assert seen[1] == {i for i in seen[0] if not 1000 <= i < 1020 and i != 5000}
+    assert steps[1].where("doc_id = -1").count() == 1
     assert seen[2] == {i for i in seen[1] if not 2000 <= i < 2010}
     assert seen[3] <= seen[2] and len(seen[3]) > 200 and seen[4] == seen[3]
     mixed = steps[3].groupBy("doc_id").count().agg(F.max("count")).first()[0]
