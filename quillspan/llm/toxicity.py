@@ -81,20 +81,32 @@ def fit(ids: list[np.ndarray], labels: np.ndarray, rank: int = RANK, epochs: int
     w0 = float(np.log((pos + 0.5) / (n - pos + 0.5)))
     if not pos or pos == n:
         return FactorizationMachine(w0, none, np.zeros(0), np.zeros((0, rank)))
-    sizes = np.array([len(x) for x in ids])
-    flat, own = np.concatenate(ids), np.repeat(np.arange(n), sizes)
-    vocab, flat = np.unique(flat, return_inverse=True)
-    df = np.bincount(flat, minlength=len(vocab)).astype(float)
-    hit = np.bincount(flat, labels[own], minlength=len(vocab))
+    # 32-bit numbers and bounded pieces keep the driver's memory at a few bytes for each term of the sample
+    flat, own = np.concatenate(ids).astype(np.uint32), np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in ids])
+    vocab, often = np.unique(flat, return_counts=True)
+    vocab = vocab[often >= 3]
+
+    def number_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in vocab of the terms that it holds, and the rows they are in."""
+        at, rows = [], []
+        for k in range(0, len(flat) if len(values) else 0, 1 << 20):
+            place = np.searchsorted(values, flat[k : k + (1 << 20)])
+            place[place == len(values)] = 0
+            hit = values[place] == flat[k : k + (1 << 20)]
+            at.append(place[hit].astype(np.int32))
+            rows.append(own[k : k + (1 << 20)][hit])
+        return (np.concatenate(at), np.concatenate(rows)) if at else (np.zeros(0, np.int32), np.zeros(0, np.int32))
+
+    idx, rows_of = number_of(vocab)
+    df = np.bincount(idx, minlength=len(vocab)).astype(float)
+    hit = np.bincount(idx, labels[rows_of], minlength=len(vocab))
     expect = df * pos / n
     with np.errstate(divide="ignore", invalid="ignore"):
         chi2 = (hit - expect) ** 2 / (df * (pos / n) * (1 - pos / n) * (1 - df / n))
-    chosen = np.flatnonzero((df >= 3) & (df < n) & (chi2 >= CHI2))
-    terms = vocab[chosen]
-    number = np.full(len(vocab), -1, np.int64)
-    number[chosen] = np.arange(len(chosen))
-    idx = number[flat]
-    own, idx = own[idx >= 0], idx[idx >= 0]
+    chosen = vocab[(df < n) & (chi2 >= CHI2)]
+    del idx, rows_of
+    idx, own = number_of(chosen)
+    terms = chosen.astype(np.int64)
     rng = np.random.default_rng(seed)
     m = len(terms)
     p = np.concatenate([[w0], np.zeros(m), rng.normal(0, 0.02, m * rank)])
@@ -152,10 +164,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(lab), "id")
     kind = dict(docs.dtypes)[id_col]
-    got = rows.select("id", "text", "label").mapInArrow(terms, f"id {kind}, label int, terms binary").toArrow().to_pandas()
-    got["n"] = got["terms"].map(len)
-    got = got.sort_values(["id", "n", "terms"], kind="stable").head(2 * max_rows)
-    ids = [np.frombuffer(t, np.uint32).astype(np.int64) for t in got["terms"]]
+    lists = rows.select("id", "text", "label").mapInArrow(terms, f"id {kind}, label int, terms binary")
+    # an id that many rows repeat gives one list, so that max_rows bounds what the driver gathers
+    got = lists.groupBy("id").agg(F.max("label").alias("label"), F.min("terms").alias("terms")).toArrow().to_pandas().sort_values("id")
+    ids = [np.frombuffer(t, np.uint32) for t in got["terms"]]
     return fit(ids, got["label"].to_numpy(float))
 
 
