@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import abc
+import re
 from collections.abc import Callable, Iterable
 
 import pandas as pd
@@ -58,15 +59,15 @@ class Language(abc.ABC):
         return self.tokenizer(c) if self.tokenizer else F.regexp_extract_all(c, F.lit(f"({self.token_pattern})"), F.lit(1))
 
     def positions(self, c: Column) -> Column:
-        """Start offset, in characters, of each token of the pattern: running sums of gap and token lengths."""
-        both = F.regexp_extract_all(c, F.lit(f"(?s)(.*?(?:{self.token_pattern}))"), F.lit(1))
-        tokens = F.regexp_extract_all(c, F.lit(f"({self.token_pattern})"), F.lit(1))
-        pieces = F.arrays_zip(both.alias("b"), tokens.alias("t"))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-        step = lambda acc, p: F.struct(
-            (acc["at"] + F.length(p["b"])).alias("at"), F.concat(acc["out"], F.array(acc["at"] + F.length(p["b"]) - F.length(p["t"]))).alias("out")
-        )
-        return F.aggregate(pieces, start, step, lambda acc: acc["out"])
+        """Start offset, in characters, of each token of the pattern. One pass in Arrow batches: the built-in array
+        functions could only sum the lengths before each token anew, which is quadratic in long texts."""
+        pattern = re.compile(self.token_pattern)
+
+        @F.pandas_udf("array<int>")
+        def run(col: pd.Series) -> pd.Series:
+            return col.map(lambda t: None if t is None else [m.start() for m in pattern.finditer(t)])
+
+        return run(c)
 
     def stem_word(self, word: str) -> str:
         return self.stemmer(word) if self.stemmer else word

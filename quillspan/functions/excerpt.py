@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 
 
 def best_location(hits: list[int], length: int) -> int:
-    """The hit with most other hits near it, nearer ones counting more; the first on ties, 0 without hits."""
+    """The hit with most other hits near it, nearer ones counting more; the first on ties, 0 without hits.
+
+    hits are sorted. Densities are compared to nine digits, so that the order of summing doesn't decide.
+    """
     limit = length * 2 / 3
     best, top = 0, -1.0
-    for p in hits:
-        density = sum(1 / (1 + math.log(abs(p - q))) for q in hits if q != p and abs(p - q) <= limit)
+    for k, p in enumerate(hits):
+        lo, hi = bisect_left(hits, p - limit), bisect_right(hits, p + limit)
+        density = round(sum(1 / (1 + math.log(abs(p - q))) for i, q in enumerate(hits[lo:hi], lo) if i != k), 9)
         if density > top:
             best, top = p, density
     return best

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.analysis import English, Plain, bare, normalize, word_pairs
+from .functions.excerpt import best_location, hit_positions
 from .operators.postings import field_terms, latest, make_docs, make_postings
 from .operators.search import Index, Searcher
 from .plans.query import Query
@@ -406,6 +409,27 @@ def html_search(spark, sf_dir):
 # ------------------------------------------------------------------ excerpts, stems, own analyzers
 
 
+@query(
+    f"""WITH t AS (SELECT doc_id, {TOKENS.format(c=NORM.format(c="text"))} AS tk, regexp_extract_all({NORM.format(c="text")}, '(?s)(.*?)([A-Za-z0-9_]+)', 1) AS gap FROM documents),
+e AS (SELECT doc_id, unnest(tk) AS token, unnest(gap) AS gap, unnest(range(len(tk))) AS place FROM t),
+p AS (SELECT doc_id, token, sum(length(gap) + length(token)) OVER (PARTITION BY doc_id ORDER BY place) - length(token) AS start FROM e),
+h AS (SELECT doc_id, start FROM p WHERE lower(token) IN ('the', 'der')),
+d AS (SELECT a.doc_id, a.start, round(coalesce(sum(1 / (1 + ln(abs(a.start - b.start)))), 0), 9) AS density FROM h a LEFT JOIN h b ON a.doc_id = b.doc_id AND a.start <> b.start AND abs(a.start - b.start) <= 100 GROUP BY 1, 2)
+SELECT doc_id, arg_max(start, (density, -start))::INTEGER AS best FROM d GROUP BY doc_id"""
+)
+def excerpt_best_location(spark, sf_dir):
+    """Where an excerpt of 150 characters for two words would centre, for every document that holds one of them."""
+    token = re.compile(Plain.token_pattern)
+
+    @F.pandas_udf("int")
+    def best(col: pd.Series) -> pd.Series:
+        hits = col.map(lambda t: hit_positions(t, token, lambda w: w.lower() in ("the", "der")))
+        return hits.map(lambda h: best_location(h, 150) if h else None).astype("Int32")
+
+    d = _read(spark, sf_dir, "documents").select("doc_id", best(normalize(F.col("text"))).alias("best"))
+    return d.where("best is not null")
+
+
 @query()
 def excerpt_text(spark, sf_dir):
     s = Searcher(document_index(spark, sf_dir), excerpt_field="body", hl_tag_open="").add_query(_q("the and"))
