@@ -35,7 +35,8 @@ class TokenTrie:
 
     def __init__(self, pieces: dict[str, float]) -> None:
         self.pieces = pieces
-        self.longest = max(map(len, pieces), default=1)
+        #: every end of a piece: a suffix that isn't one can't grow into a piece
+        self.tails = {p[k:] for p in pieces for k in range(len(p))}
         self.byte = min(pieces.values(), default=0.0) - 10.0
         self.root: dict = {}
         self.terminal: dict[str, int] = {}
@@ -56,8 +57,11 @@ class TokenTrie:
                 cost = len(c.encode("utf-8", "surrogatepass"))
                 score, n = path[-1]
                 best = (score + self.byte * cost, -(n + cost))
-                for i in range(max(0, j - self.longest), j):
-                    p = self.pieces.get(text[i:j])
+                for i in range(j - 1, -1, -1):
+                    end = text[i:j]
+                    if end not in self.tails:
+                        break
+                    p = self.pieces.get(end)
                     if p is not None:
                         score, n = path[i]
                         best = max(best, (score + p, -(n + 1)))
