@@ -21,6 +21,10 @@ from ..plans.schema import IndexSchema
 from .document import Document
 
 
+#: Row group of stored documents: what a page lookup reads for a hit, and the least that a task analyses.
+DOC_BLOCK = 4 << 20
+
+
 class Files:
     """The few file operations that an index needs, on any Hadoop file system."""
 
@@ -246,6 +250,8 @@ class IndexWriter:
 
     def _write(self, df: DataFrame, name: str, mode: str = "overwrite") -> None:
         writer = df.write.mode(mode)
+        if name.startswith("docs/"):
+            writer = writer.option("parquet.block.size", DOC_BLOCK)
         if self.max_records:
             writer = writer.option("maxRecordsPerFile", self.max_records)
         writer.parquet(f"{self.root}/{name}")
