@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_cells, cell_pairs, connected_components, discard, materialize, mix64, partitions
+from .common import block_cells, connected_components, discard, materialize, mix64, partitions
 
 WIDTH = 2.0
 RECALL = 0.99
