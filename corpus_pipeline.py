@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.llm import decontaminate, mixing, ngram_join, sharding, toxicity
-from quillspan.llm.common import anti_join_ids, materialize
+from quillspan.llm.common import anti_join_ids, materialize, row_name
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,11 +38,16 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: every document as often as the mix takes it, to whole documents (the straddler is rounded)."""
-    mixed = mixing.mix_documents(docs).where("taken > 0 and size > 0")
-    times = mixed.select("doc_id", F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).cast("int").alias("times")).where("times > 0")
-    times = times.groupBy("doc_id").agg(F.max("times").alias("times"))
-    return docs.join(times, "doc_id").withColumn("times", F.explode(F.sequence(F.lit(1), "times"))).select(docs.columns)
+    """Operator 8: every document as often as the mix takes it, to whole documents (the straddler is rounded).
+
+    Rows are told apart by all their columns, so null and repeated ids are mixed like any other; rows equal throughout
+    come out as often as the mix takes them together.
+    """
+    mixed = mixing.mix_documents(docs, row=row_name(docs)).where("taken > 0 and size > 0")
+    times = mixed.select(F.col("row").alias("__row"), F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).cast("int").alias("times")).where("times > 0")
+    times = times.groupBy("__row").agg(F.sum("times").cast("int").alias("times"))
+    rows = docs.withColumn("__row", row_name(docs)).dropDuplicates(["__row"])
+    return rows.join(times, "__row").withColumn("times", F.explode(F.sequence(F.lit(1), "times"))).select(docs.columns)
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import materialize
@@ -43,6 +43,12 @@ def anti_join_ids(df: DataFrame, key: str, drop: DataFrame) -> DataFrame:
     return df.join(F.broadcast(drop) if small else drop, key, "left_anti")
 
 
+def row_name(df: DataFrame) -> Column:
+    """128 hash bits over all columns of a row, nulls told apart from values: only rows equal throughout share a name."""
+    cells = [c for name in df.columns for c in (F.col(f"`{name}`").isNull(), F.col(f"`{name}`"))]
+    return F.concat_ws(":", F.xxhash64(*cells), F.xxhash64(F.lit("again"), *cells))
+
+
 # ---------------------------------------------------------------- words and shingles
 
 _rng = np.random.default_rng(20240607)

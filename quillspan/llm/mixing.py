@@ -48,15 +48,17 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
     return s.select("source", "source_size", target.alias("target"))
 
 
-def mix_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, epochs: int = 2) -> DataFrame:
+def mix_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, epochs: int = 2, row: Column | None = None) -> DataFrame:
     """(id, size, source_size, target, taken, virtual_finish) of every document, range-sorted by virtual_finish.
 
     taken counts the words the mix takes of a document over all passes; the document that straddles the budget gives
     the words left, so each source's sum is its target rounded down. virtual_finish is the time of its first pass; a
     time over 1 means not (wholly) taken. A null source is a source of its own, sorted last; null or empty texts have
     size 0 and take 0; ties in the shuffle are broken by id and size, so reruns agree; no rows give no rows.
+    row, where given, names a row (row_name): it breaks further ties and is returned as a last column `row`.
     """
-    narrow = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), shuffle_key(id_col).alias("key"))
+    names = [] if row is None else ["row"]
+    narrow = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), shuffle_key(id_col).alias("key"), *([] if row is None else [row.alias("row")]))
     d = materialize(narrow, "mix")
     per = d.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
     most = per.agg(F.max("n")).first()[0] or 0
@@ -68,7 +70,7 @@ def mix_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select(F.col("source").alias("s"), F.col("part").alias("p"), F.coalesce(F.sum("part_size").over(earlier), F.lit(0)).alias("base"))
     base = base.join(goal.withColumnRenamed("source", "g"), F.col("s").eqNullSafe(F.col("g"))).drop("g")
-    inside = Window.partitionBy("source", "part").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "part").orderBy("key", "id", "size", *names).rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("upto", F.sum("size").over(inside))
     d = d.join(base, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
     start = F.col("base") + F.col("upto") - F.col("size")
@@ -76,7 +78,7 @@ def mix_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     zero = F.lit(0).cast("long")
     taken = sum((F.least(F.greatest(quota - F.col("source_size") * k - start, zero), F.col("size")) for k in range(epochs)), zero)
     time = F.when(F.col("target") > 0, (F.col("base") + F.col("upto")) / F.col("target")).otherwise(F.lit(0.0))
-    out = d.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"), time.alias("virtual_finish"))
+    out = d.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"), time.alias("virtual_finish"), *names)
     return out.orderBy("virtual_finish", id_col)
 
 

@@ -384,3 +384,42 @@ def test_pipeline(spark, tmp_path):
     assert {"virtual_slot", "shard"} <= set(steps[4].columns)
     whole = corpus_pipeline.run(spark, base)
     assert sorted(map(repr, whole.collect())) == sorted(map(repr, steps[4].collect()))
+
+
+def test_mixing_stage_tells_rows_apart(spark):
+    """Null ids, ids that repeat with another text, source or size, and equal rows, against a mix by hand."""
+    import hashlib
+    from collections import Counter
+
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    text = lambda n: " ".join(f"w{rng.randrange(50)}" for _ in range(n))
+    rows = [(None if i % 3 == 0 else i // 2, text(rng.randint(1, 30)), "en", f"s{i % 4}" if i % 11 else None) for i in range(300)]
+    rows += [(7000 + k, text(9), "en", "s1") for k in range(20) for _ in range(2)] + [(8000, "four words are here", "en", s) for s in ("s0", "s1", "s2", None)]
+    rows += [(None, "the same again", "de", "s2")] * 7 + [(8001, "the same again", "de", "s3")] * 5 + [(None, None, "en", "s0"), (None, " ", "en", "s1"), (8002, "", None, None)]
+    df = spark.createDataFrame([(i, t, g, s, len(t or "")) for i, t, g, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    named = [tuple(r) for r in df.withColumn("name", common.row_name(df)).collect()]
+    assert len({r[5] for r in named}) == len(set(rows))
+    sizes = Counter()
+    for r in named:
+        sizes[r[3]] += len(words_of(r[1]))
+    target = {r.source: r.target for r in mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, size long")).collect()}
+    want, words = Counter(), Counter()
+    for source, size in sizes.items():
+        queue = sorted((hashlib.md5(str("" if r[0] is None else r[0]).encode()).hexdigest(), len(words_of(r[1])), r[5], r) for r in named if r[3] == source)
+        quota, start = int(target[source]), 0
+        for *_, r in queue:
+            n = len(words_of(r[1]))
+            taken = sum(min(max(quota - size * k - start, 0), n) for k in range(2))
+            times = (2 * taken + n) // (2 * n) if n else 0
+            want[r[:5]] += times
+            words[source] += times * n
+            start += n
+    mixed = corpus_pipeline.mix_sources(spark, df, "")
+    assert mixed.columns == df.columns
+    got = Counter(tuple(r) for r in mixed.collect())
+    assert got == +want and sum(got[k] for k in got if k[0] is None) > 50
+    assert all(abs(words[s] - target[s]) <= 30 for s in sizes)
+    assert Counter(tuple(r) for r in corpus_pipeline.mix_sources(spark, df.repartition(9), "").collect()) == got
+    assert corpus_pipeline.mix_sources(spark, df.limit(0), "").count() == 0
