@@ -21,15 +21,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: of each group of linked documents the one with the least id stays.
 
-    Rows with a null id always stay, as no id can name them; of rows that repeat an id and its text one stays.
+    Of rows that share this id, the one with the least name stays, whatever their texts; of rows equal throughout, one.
+    Rows with a null id always stay, as no id can name them.
     """
-    found = materialize(ngram_join.ngram_jaccard_join(docs).select("doc_id", "component_id", "n_shingles"), "found")
-    gone = materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    kept = anti_join_ids(docs, "doc_id", gone).select(docs.columns)
-    again = materialize(found.where("doc_id = component_id and n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    named = docs.withColumn("__row", row_name(docs))
+    # a null id stays a null struct, which the join passes over as least
+    key = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "__row")).alias("key")
+    found = materialize(ngram_join.ngram_jaccard_join(named.select(key, "text"), "key").select("key", "component_id", "n_shingles"), "found")
+    gone = materialize(found.where("key <> component_id").select("key.__row").distinct(), "copies")
+    kept = anti_join_ids(named, "__row", gone)
+    again = found.where("key = component_id and n_shingles > 0").groupBy("key.__row").count().where("count > 1").select("__row")
+    again = materialize(again, "repeated")
     if again.isEmpty():
-        return kept
-    return anti_join_ids(kept, "doc_id", again).unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+        return kept.select(docs.columns)
+    once = kept.join(again, "__row", "left_semi").dropDuplicates(["__row"])
+    return anti_join_ids(kept, "__row", again).unionByName(once).select(docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -423,3 +423,28 @@ def test_mixing_stage_tells_rows_apart(spark):
     assert all(abs(words[s] - target[s]) <= 30 for s in sizes)
     assert Counter(tuple(r) for r in corpus_pipeline.mix_sources(spark, df.repartition(9), "").collect()) == got
     assert corpus_pipeline.mix_sources(spark, df.limit(0), "").count() == 0
+
+
+def test_near_copies_of_rows_that_share_an_id(spark):
+    from collections import Counter
+
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    text = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    a, b, c, d, e, f = (text(60) for _ in range(6))
+    rows = [(1, a, "s0"), (2, a + " end", "s0"), (2, b, "s1")]  # one row of id 2 is a copy, the other is unique
+    rows += [(3, c, "s0"), (3, c + " end", "s0"), (4, c + " tail", "s1")]  # two near texts under the least id
+    rows += [(5, d, "s0"), (5, d.upper(), "s0"), (6, e, "s0"), (6, e, "s1"), (7, f, "s2"), (7, f, "s2")]
+    rows += [(None, a, "s0"), (None, b, "s0"), (None, b, "s0"), (8, None, "s0"), (8, None, "s0"), (8, "", "s1")]
+    df = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.drop_near_copies(spark, df, "")
+    assert out.columns == df.columns
+    got = Counter((r.doc_id, r.text, r.source) for r in out.collect())
+    clean = [r for r in rows if r[0] in (None, 8) or r in ((1, a, "s0"), (2, b, "s1"))]
+    assert all(got[r] == n for r, n in Counter(clean).items())
+    ids = Counter(k[0] for k in got.elements())
+    assert ids == Counter(r[0] for r in clean) + Counter([3, 5, 6, 7])
+    again = corpus_pipeline.drop_near_copies(spark, df.repartition(7), "")
+    assert Counter((r.doc_id, r.text, r.source) for r in again.collect()) == got
+    assert corpus_pipeline.drop_near_copies(spark, df.limit(0), "").count() == 0
