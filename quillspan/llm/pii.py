@@ -51,6 +51,15 @@ def iban(text: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def _iban_span(text: str, start: int, stop: int) -> tuple[int, int] | None:
+    """The longest stretch from start to a group boundary, at stop or before it, whose check sum holds."""
+    while stop > start:
+        if iban(text[start:stop]):
+            return start, stop
+        stop = text.rfind(" ", start, stop)
+    return None
+
+
 def _automaton():
     import ahocorasick
 
@@ -107,9 +116,8 @@ def find_spans(text: str) -> dict[str, list[tuple[int, int]]]:
                     span = (lo + m.start(), end + 1)
         elif not _WORD.match(text, end + 1):
             m = _IBAN.match(text, end + 1)
-            if m and not iban(m[1]):
-                m = None
-            m = m or _NUMBER.match(text, end + 1)
+            span = m and _iban_span(text, *m.span(1))
+            m = None if span else _NUMBER.match(text, end + 1)
             if m:
                 span = m.span(1)
         if span:

@@ -62,6 +62,16 @@ def test_pii_added_kinds():
     assert cut("account") == ["GB82 WEST 1234 5698 7654 32", "12-345678"]
 
 
+def test_pii_account_ends_at_any_group():
+    found = lambda t: [t[a:b] for a, b in pii.find_spans(t)["account"]]
+    assert found("IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFF") == ["DE89 3704 0044 0532 0130 00"]
+    assert found("IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX and IBAN GB82 WEST 1234 5698 7654 32 OK") == ["DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"]
+    assert found("IBAN DE89370400440532013000 BIC COBADEFF") == ["DE89370400440532013000"]
+    assert found("IBAN DE89 3704 0044 0532 0130 00 BIC Deutsche Bank") == ["DE89 3704 0044 0532 0130 00"]
+    assert found("IBAN DE89 3704 0044 0532 0130 00 Bank") == ["DE89 3704 0044 0532 0130 00"]
+    assert found("IBAN DE88 3704 0044 0532 0130 00 BIC COBADEFF") == []
+
+
 def test_pii_table(spark):
     rows = [*AWKWARD, (11, "mail a.b@c.org or 10.0.0.1")]
     got = pii.find_pii(table(spark, rows)).collect()
