@@ -57,8 +57,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: virtual slot and shard of every document."""
-    return sharding.assign_shards(docs)[0]
+    """Operator 1: virtual slot and shard of every document; the session's quillspan.shard.map names a kept map's path."""
+    return sharding.assign_shards(docs, map_path=spark.conf.get("quillspan.shard.map", None))[0]
 
 
 STAGES = [("toxicity", drop_toxic), ("ngram_join", drop_near_copies), ("decontamination", drop_leaks), ("mixing", mix_sources), ("sharding", assign_shards)]

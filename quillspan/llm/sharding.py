@@ -102,6 +102,22 @@ class SlotMap:
         return SlotMap(tuple(json.loads(r.shards)), r.n_shards, r.version, tuple(map(tuple, json.loads(r.history))))
 
 
+def next_map(spark: SparkSession, sizes: list[int], n_shards: int, path: str | None = None) -> SlotMap:
+    """Map for these bytes of slots: the newest at path, rebalanced and saved as the next version; else a first one."""
+    if path is None:
+        return SlotMap.balanced(sizes, n_shards)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p):
+        old = SlotMap.load(spark, path)
+        if len(old.shards) != len(sizes):
+            raise ValueError(f"the map at {path} has {len(old.shards)} slots, not {len(sizes)}")
+        m = old.rebalance(sizes, n_shards)
+    else:
+        m = SlotMap.balanced(sizes, n_shards)
+    m.save(spark, path)
+    return m
+
+
 def size_of(text: str) -> Column:
     """UTF-8 bytes of the text (null: none) plus 1."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
@@ -129,17 +145,18 @@ def slot_bytes(digests: DataFrame, slots: int = SLOTS) -> tuple[list[int], int]:
     return out, most
 
 
-def shard_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_shards: int = 16, slots: int = SLOTS, slot_map: SlotMap | None = None) -> DataFrame:
+def shard_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_shards: int = 16, slots: int = SLOTS, slot_map: SlotMap | None = None, map_path: str | None = None) -> DataFrame:
     """(id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot) of each record, under the law `bytes`.
 
     slot is the record's place in its shard, gapless from 0: the rows before its virtual slot in the shard plus its
     rank inside it, counted in two levels so that no task numbers a whole shard. A null id hashes as the empty
     string, a null text has size 1 and the CRC of no bytes; equal rows share a virtual slot and take neighbouring
     places; no rows give no rows. Only the two named columns are read, so other columns may have any name.
+    With map_path the newest map there is rebalanced and saved as the next version; slot_map is used as it is.
     """
     d = materialize(digest(df, id_col, text_col, slots), "slots")
     sizes, most = slot_bytes(d, slots)
-    m = slot_map or SlotMap.balanced(sizes, n_shards)
+    m = slot_map or next_map(df.sparkSession, sizes, n_shards, map_path)
     parts = max(1, -(-most // PART_ROWS))
     d = d.withColumn("shard", m.column("virtual_slot")).withColumn("part", (F.floor(F.col("h") / slots) % parts).cast("int"))
     counts = d.groupBy("shard", "virtual_slot", "part").agg(F.count(F.lit(1)).alias("n"))
@@ -159,10 +176,11 @@ def shard_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
-def assign_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_shards: int = 16, slots: int = SLOTS) -> tuple[DataFrame, SlotMap]:
-    """df with virtual_slot and shard added, and the map that placed them: one narrow pass for the bytes, no shuffle of texts."""
+def assign_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_shards: int = 16, slots: int = SLOTS, map_path: str | None = None) -> tuple[DataFrame, SlotMap]:
+    """df with virtual_slot and shard added, and the map that placed them (map_path: see shard_documents): one narrow
+    pass for the bytes, no shuffle of texts."""
     sizes, _ = slot_bytes(digest(df, id_col, text_col, slots), slots)
-    m = SlotMap.balanced(sizes, n_shards)
+    m = next_map(df.sparkSession, sizes, n_shards, map_path)
     crc = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
     out = df.withColumn("__crc", crc)
     out = out.withColumn("virtual_slot", (record_hash(id_col, "__crc") % slots).cast("int")).drop("__crc")

@@ -448,3 +448,25 @@ def test_near_copies_of_rows_that_share_an_id(spark):
     again = corpus_pipeline.drop_near_copies(spark, df.repartition(7), "")
     assert Counter((r.doc_id, r.text, r.source) for r in again.collect()) == got
     assert corpus_pipeline.drop_near_copies(spark, df.limit(0), "").count() == 0
+
+
+def test_kept_slot_map(spark, tmp_path):
+    import corpus_pipeline
+
+    path = f"file://{tmp_path}/kept"
+    rows = [(i, "t" * (i % 90)) for i in range(600)]
+    first = {r.virtual_slot: r.shard for r in sharding.shard_documents(docs(spark, rows), map_path=path).collect()}
+    assert sharding.SlotMap.load(spark, path).version == 1
+    grown, m = sharding.assign_shards(docs(spark, rows + [(i, "u" * 90) for i in range(1000, 1200)]), map_path=path)
+    assert m.version == 2 and m == sharding.SlotMap.load(spark, path)
+    now = {r.virtual_slot: r.shard for r in grown.collect()}
+    moved = sum(first[s] != now[s] for s in first)
+    assert moved <= m.history[0][1] < len(first) / 2
+    spark.conf.set("quillspan.shard.map", path)
+    try:
+        corpus_pipeline.assign_shards(spark, docs(spark, rows), "")
+    finally:
+        spark.conf.unset("quillspan.shard.map")
+    assert sharding.SlotMap.load(spark, path).version == 3
+    with pytest.raises(ValueError):
+        sharding.shard_documents(docs(spark, rows), slots=8, map_path=path)
