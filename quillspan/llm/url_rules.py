@@ -1,7 +1,7 @@
 """URL filters: host and path rules plus pattern rules, found through their rarest literal token.
 
-Every rule is compiled to one regular expression and filed under the literal token of its text that the fewest rules
-contain. A URL's tokens fetch candidate rules, and only those run their expressions.
+Every rule is compiled to regular expressions over host and path and filed under the literal token of its text that
+the fewest rules contain. A URL's tokens fetch candidate rules, and only those run their expressions.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ class UrlRule:
         return self.host + self.path
 
     @property
-    def pattern(self) -> str:
-        return rf"(?:.*\.)?{re.escape(self.host)}\x00{re.escape(self.path)}"
+    def patterns(self) -> tuple[str, str]:
+        return rf"(?:.*\.)?{re.escape(self.host)}", rf"{re.escape(self.path)}.*"
 
     @property
     def literal(self) -> str:
@@ -42,12 +42,17 @@ class UrlRule:
 
 @dataclass(frozen=True)
 class PatternRule:
-    """A regular expression over `host\\0path`; literal names tokens that every match contains whole."""
+    """Regular expressions that the whole host and the whole path match; literal names tokens that every match contains whole."""
 
     action: str
-    pattern: str
+    host: str = ".*"
+    path: str = ".*"
     literal: str = ""
 
+    @property
+    def patterns(self) -> tuple[str, str]:
+        return self.host, self.path
+
 
 #: The fixed rules of the query.
 RULES = (
@@ -59,11 +64,12 @@ RULES = (
 )
 #: The method's own rules: where no fixed rule fits, the first that fits decides, and none means allow.
 PATTERNS = (
-    PatternRule("block", r"(?:[^\x00]*[.-])?casino[.-][^\x00]*\x00", "casino"),
-    PatternRule("block", r"(?:[^\x00]*[.-])?adult[.-][^\x00]*\x00", "adult"),
-    PatternRule("block", r"(?:[^\x00]*[.-])?(?:spam-farm)\.[^\x00]*\x00", "spam farm"),
-    PatternRule("block", r"[^\x00]*\x00(?:.*/)?(?:wp-login|xmlrpc)\.php\Z", "php"),
-    PatternRule("block", r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]+)?\x00", ""),
+    PatternRule("block", r"(?:.*[.-])?casino[.-].*", literal="casino"),
+    PatternRule("block", r"(?:.*[.-])?adult[.-].*", literal="adult"),
+    PatternRule("block", r"(?:.*[.-])?(?:spam-farm)\..*", literal="spam farm"),
+    PatternRule("block", path=r"(?:.*/)?(?:wp-login|xmlrpc)\.php", literal="php"),
+    # an address has no literal word: the one rule that every URL without a fixed rule runs
+    PatternRule("block", r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]+)?"),
 )
 
 
@@ -74,14 +80,14 @@ class RuleIndex:
         tokens = [sorted(set(_TOKEN.findall(r.literal.translate(_LOWER)))) for r in rules]
         often = Counter(t for ts in tokens for t in ts)
         self.by_token: dict[str, list[int]] = {}
-        self.rules = [(r, re.compile(r.pattern, re.S)) for r in rules]
+        self.rules = [(r, *(re.compile(p, re.S) for p in r.patterns)) for r in rules]
         for k, ts in enumerate(tokens):
             self.by_token.setdefault(min(ts, key=lambda t: (often[t], t)) if ts else "", []).append(k)
 
-    def matches(self, subject: str, tokens: set[str]) -> list[int]:
-        """Numbers of the rules that fit `host\\0path`, in rule order."""
+    def matches(self, host: str, path: str, tokens: set[str]) -> list[int]:
+        """Numbers of the rules that fit, in rule order."""
         found = [k for t in (*tokens, "") for k in self.by_token.get(t, ())]
-        return sorted(k for k in found if self.rules[k][1].match(subject))
+        return sorted(k for k in found if self.rules[k][1].fullmatch(host) and self.rules[k][2].fullmatch(path))
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -98,13 +104,12 @@ def judge(url: str | None, fixed: RuleIndex, own: RuleIndex) -> tuple[str, str,
     host, path = split_url(url)
     if not host and not path:
         return host, path, None, "allow"
-    subject = f"{host}\x00{path}"
-    tokens = set(_TOKEN.findall(subject.translate(_LOWER)))
-    hits = fixed.matches(subject, tokens)
+    tokens = {*_TOKEN.findall(host), *_TOKEN.findall(path.translate(_LOWER))}
+    hits = fixed.matches(host, path, tokens)
     if hits:
         rule = max((fixed.rules[k][0] for k in hits), key=lambda r: (len(r.name), r.name))
         return host, path, rule.name, rule.action
-    hits = own.matches(subject, tokens)
+    hits = own.matches(host, path, tokens)
     return host, path, None, own.rules[hits[0]][0].action if hits else "allow"
 
 
