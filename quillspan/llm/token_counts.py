@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 import unicodedata
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,9 @@ from pyspark.sql import functions as F
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Trie nodes a worker keeps between batches; a fuller trie is started anew.
-MAX_NODES = 2_000_000
+MAX_NODES = 1_000_000
+#: Characters of a pre-token that are shared through the trie; the scores of what follows are computed and not kept.
+DEPTH = 64
 
 
 def load_pieces(path: str = DEFAULT_MODEL) -> dict[str, float]:
@@ -37,39 +40,50 @@ class TokenTrie:
         self.pieces = pieces
         #: every end of a piece: a suffix that isn't one can't grow into a piece
         self.tails = {p[k:] for p in pieces for k in range(len(p))}
+        self.longest = max(map(len, pieces), default=1)
         self.byte = min(pieces.values(), default=0.0) - 10.0
         self.root: dict = {}
         self.terminal: dict[str, int] = {}
         self.nodes = 0
 
+    def _score(self, text: str, j: int, path) -> tuple[float, int]:
+        """Best (score, tokens) of the first j characters; path holds those of shorter starts, the nearest last."""
+        cost = len(text[j - 1].encode("utf-8", "surrogatepass"))
+        score, n = path[-1]
+        best = (score + self.byte * cost, -(n + cost))
+        for back in range(1, min(len(path), self.longest) + 1):
+            end = text[j - back : j]
+            if end not in self.tails:
+                break
+            p = self.pieces.get(end)
+            if p is not None:
+                score, n = path[-back]
+                best = max(best, (score + p, -(n + 1)))
+        return best[0], -best[1]
+
     def count(self, word: str) -> int:
-        """Tokens of the best segmentation of the mark and the word (ties: fewest tokens)."""
+        """Tokens of the best segmentation of the mark and the word (ties: fewest tokens).
+
+        A step looks back over the longest piece only, so a word of any length takes bounded memory and linear time.
+        """
         known = self.terminal.get(word)
         if known is not None:
             return known
         if self.nodes > MAX_NODES:
             self.root, self.terminal, self.nodes = {}, {}, 0
         text, node = MARK + word, self.root
-        path: list[tuple[float, int]] = [(0.0, 0)]
-        for j, c in enumerate(text, 1):
+        path: deque[tuple[float, int]] = deque([(0.0, 0)], self.longest)
+        for j, c in enumerate(text[:DEPTH], 1):
             entry = node.get(c)
             if entry is None:
-                cost = len(c.encode("utf-8", "surrogatepass"))
-                score, n = path[-1]
-                best = (score + self.byte * cost, -(n + cost))
-                for i in range(j - 1, -1, -1):
-                    end = text[i:j]
-                    if end not in self.tails:
-                        break
-                    p = self.pieces.get(end)
-                    if p is not None:
-                        score, n = path[i]
-                        best = max(best, (score + p, -(n + 1)))
-                entry = node[c] = ((best[0], -best[1]), {})
+                entry = node[c] = (self._score(text, j, path), {})
                 self.nodes += 1
             path.append(entry[0])
             node = entry[1]
-        self.terminal[word] = path[-1][1]
+        for j in range(DEPTH + 1, len(text) + 1):
+            path.append(self._score(text, j, path))
+        if len(text) <= DEPTH:
+            self.terminal[word] = path[-1][1]
         return path[-1][1]
 
 

@@ -72,6 +72,23 @@ def test_pii_account_ends_at_any_group():
     assert found("IBAN DE88 3704 0044 0532 0130 00 BIC COBADEFF") == []
 
 
+def test_pii_boundaries_and_cues():
+    def cut(text, kind):
+        return [text[a:b] for a, b in pii.find_spans(text)[kind]]
+
+    far = "12 " + "Very" * 200 + " Long Oak Street"
+    assert cut("at " + far + " now", "address") == [far]
+    assert cut("99912345678 Oak Street", "address") == [] and cut("12 Oak St. and 7 ELM AVENUE, (9b Fir Road)", "address") == ["12 Oak St.", "7 ELM AVENUE", "9b Fir Road"]
+    assert cut("12 a Oak Street 1 B C D E F Street x12 Oak Street", "address") == [] and cut("Street", "address") == []
+    assert cut("xhttp://a.b HTTP://c.de", "url") == ["HTTP://c.de"]
+    assert cut("SSN 123-45-6789, ssn: 000-12-3456, Passport no. C01234567", "ident") == ["123-45-6789", "C01234567"]
+    assert cut("ACCOUNT 12345678", "account") == ["12345678"]
+    key = "AKIA" + "Z9" * 8
+    assert cut(f"key {key}, x{key} token = \"f32ab9ba2834a0d3\" password: hello", "secret") == [key, "f32ab9ba2834a0d3"]
+    assert cut(f"token={key}", "secret") == [key]
+    assert pii.find_spans("Street " * 20_000 + "A" * 100_000 + " Street" * 3)["address"] == []
+
+
 def test_pii_table(spark):
     rows = [*AWKWARD, (11, "mail a.b@c.org or 10.0.0.1")]
     got = pii.find_pii(table(spark, rows)).collect()
@@ -83,6 +100,9 @@ def test_pii_table(spark):
     assert pii.find_pii(table(spark, [])).count() == 0
     masked = pii.mask_pii(table(spark, rows)).where("doc_id in (2, 11)").collect()
     assert sorted(str(r.text) for r in masked) == ["None", "mail <email> or <ip>"]
+    odd = spark.createDataFrame([("a@b.co", "x", "a@b.co"), ("", None, None)], "text string, __text string, masked string")
+    assert sorted(map(tuple, pii.mask_pii(odd).collect())) == [("", None, None), ("<email>", "x", "a@b.co")]
+    assert pii.mask_pii(odd.limit(0)).count() == 0
 
 
 def by_rules(url):
@@ -118,14 +138,14 @@ def test_url_index_runs_few_rules():
     assert [rules[k].host for k in index.matches("a.site77.com", "/xy", {"a", "site77", "com", "xy"})] == ["site77.com"]
 
 
-def plain_count(pieces, word, byte):
+def plain_count(pieces, word, byte, longest=10_000):
     """Best segmentation by the textbook recursion over all cuts."""
     text = token_counts.MARK + word
     best = [(0.0, 0)]
     for j in range(1, len(text) + 1):
         n = len(text[j - 1].encode())
         options = [(best[j - 1][0] + byte * n, best[j - 1][1] - n)]
-        options += [(best[i][0] + pieces[text[i:j]], best[i][1] - 1) for i in range(j) if text[i:j] in pieces]
+        options += [(best[i][0] + pieces[text[i:j]], best[i][1] - 1) for i in range(max(0, j - longest), j) if text[i:j] in pieces]
         best.append(max(options))
     return -best[-1][1]
 
@@ -139,6 +159,10 @@ def test_token_counts(spark):
     for w in words:
         assert trie.count(w) == plain_count(pieces, w, trie.byte)
     before = trie.nodes
+    long = "".join(rng.choice("etaonhéx") for _ in range(20_000))
+    assert trie.count(long) == plain_count({p: s for p, s in pieces.items() if set(p) <= set("etaonhéx" + token_counts.MARK)}, long, trie.byte, trie.longest)
+    assert trie.nodes <= before + token_counts.DEPTH and long not in trie.terminal  # a long word fills no memory
+    before = trie.nodes
     trie.count(words[-1] + "zz")
     assert trie.nodes <= before + 2  # the shared prefix is there already
     got = token_counts.count_tokens(table(spark)).collect()
