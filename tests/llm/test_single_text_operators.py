@@ -172,15 +172,65 @@ def test_token_counts(spark):
     assert token_counts.count_tokens(table(spark, [])).count() == 0
 
 
+FULL = {p: t for p, t in licenses.known_texts() if t.count(" ") > 40}
+
+
+def wraps(text):
+    """The text at many widths, paragraph by paragraph, unwrapped, and as comments."""
+    import textwrap
+
+    parts = [" ".join(p.split()) for p in re.split(r"\n[ \t]*\n", text)]
+    for width in (*range(60, 101, 4), 79, 1_000_000):
+        yield "\n\n".join(textwrap.fill(p, width) for p in parts)
+    yield "/*\n" + "\n".join(" * " + x for x in textwrap.wrap(parts[0], 70)) + "\n *\n" + "\n *\n".join("\n".join(" * " + x for x in textwrap.wrap(p, 70)) for p in parts[1:]) + "\n */"
+
+
+@pytest.mark.parametrize("name", sorted(FULL))
+def test_every_license_at_every_width(name):
+    known = licenses.known_digests()
+    for text in [t for n, t in licenses.known_texts() if n == name and t.count(" ") > 40]:
+        for form in wraps(text):
+            assert known.get(licenses.digest(form)) == name
+    for form in wraps(FULL[name]):
+        assert licenses.digest(form + "\n\nBut not for you.") not in known
+        assert licenses.digest(re.sub(r"(?i)\bor\b", "nor", form, count=1)) not in known
+
+
+def test_copyright_notices():
+    same = ["Copyright (c) 2020 Some One <a@b.c>, and others\n\nWords", "words", "© 2019-2024 Else. All rights reserved.\nWORDS", "Copyright by the authors of this\nthing\n\nwords", "# (C) Copyright 1999\n#\n# words"]
+    assert len({licenses.digest(t) for t in same}) == 1
+    for t in ("copyright holders be liable", "copyright notice above", "(c) the third", "copyright 2020 " + "x " * 200):
+        assert licenses.canonical(t) == " ".join(re.findall("[a-z0-9]+", t))
+    assert licenses.canonical("Copyright 2020 A. Licensed under the MIT Licence.") == "licensed under the mit license"
+
+
 def test_licenses(spark):
-    mit = dict((n, t) for n, t in licenses.TEXTS if n == "MIT" and t.startswith("Perm"))["MIT"]
+    mit = FULL["MIT"].split("\n", 1)[1] if FULL["MIT"].startswith("MIT") else FULL["MIT"]
     changed = "Copyright (c) 2020 Someone\n\n" + mit.upper().replace(",", " ,").replace("SUBLICENSE", "sub-license") + "\n"
-    rows = [*AWKWARD, (20, changed), (21, mit + " more"), (22, "text\n  licensed under the APACHE license - version 2.0!\nReleased under the MIT Licence\nReleased under the MIT License.")]
-    got = {r.doc_id: r for r in licenses.scan_licenses(table(spark, rows)).collect() if r.doc_id}
-    assert got[20].license == "MIT" and got[21].license is None and got[1].license is None
-    assert (got[22].n_notices, got[22].notices) == (3, "Apache-2.0,MIT")
-    assert got[2].digest == got[3].digest == hashlib.md5(b"").hexdigest() and got[2].license is None
+    notices = "text\n  licensed under the APACHE license - version 2.0!\nReleased under the MIT Licence\nReleased under the MIT License."
+    rows = [*AWKWARD, (20, changed), (21, mit + " more"), (22, notices), (22, notices), (23, "Copyright 2024 Me")]
+    got = licenses.scan_licenses(table(spark, rows)).collect()
+    assert len(got) == len(rows)
+    by = {r.doc_id: r for r in got}
+    assert by[20].license == "MIT" and by[21].license is None and by[1].license is None
+    assert [(r.n_notices, r.notices) for r in got if r.doc_id == 22] == [(3, "Apache-2.0,MIT")] * 2
+    assert by[2].digest == by[3].digest == by[23].digest == hashlib.md5(b"").hexdigest() and by[2].license is None
     assert licenses.scan_licenses(table(spark, [])).count() == 0
+    own = licenses.scan_licenses(table(spark, [(1, "My OWN terms."), (2, "x\nmy own terms")]), texts=[("own", "my own terms"), ("none", "--")])
+    assert sorted((r.doc_id, r.license, r.notices) for r in own.collect()) == [(1, "own", "own"), (2, None, "own")]
+
+
+def test_licenses_equal_their_sql(spark):
+    """The query's SQL on documents that hold known texts, which the test tables don't."""
+    import duckdb
+
+    rows = [(k, form) for k, form in enumerate(f for n in sorted(FULL) for f in list(wraps(FULL[n]))[::5])] + [(900, None), (901, ""), (902, "© 2020 A & B“\n\nreleased under the mit licence"), (903, "Copyright 2020 é" + "x" * 400)]
+    c = duckdb.connect()
+    c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    c.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = c.execute("SELECT doc_id, digest, license, n_notices, notices FROM (" + licenses.oracle_sql() + ")").fetchall()
+    got = [tuple(r) for r in licenses.scan_licenses(table(spark, rows)).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and sum(g[2] is not None for g in got) == len(rows) - 3
 
 
 def labelled(n=3000, seed=1):
