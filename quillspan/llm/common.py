@@ -49,6 +49,26 @@ def row_name(df: DataFrame) -> Column:
     return F.concat_ws(":", F.xxhash64(*cells), F.xxhash64(F.lit("again"), *cells))
 
 
+def ranged(df: DataFrame, order: list, name: str, parts: int | None = None) -> DataFrame:
+    """df as a scratch table in ranges of `order`, numbered by a column `part`: range k lies before range k + 1, rows
+    inside a range have no order yet. With prefix sums over the few ranges, no task ever orders more than one range."""
+    df = df.repartitionByRange(parts, *order) if parts else df.repartitionByRange(*order)
+    return materialize(df.withColumn("part", F.spark_partition_id()), name)
+
+
+def with_offsets(table: DataFrame, sums: dict[str, Column]) -> tuple[DataFrame, dict[str, int]]:
+    """A ranged table with, for each named sum, a column of that name: the sum over all ranges before the row's own;
+    and the total of each. The driver sees one row a range."""
+    got = sorted(table.groupBy("part").agg(*[F.sum(c).alias(n) for n, c in sums.items()]).collect(), key=lambda r: r.part)
+    total = dict.fromkeys(sums, 0)
+    rows = []
+    for r in got:
+        rows.append((r.part, *total.values()))
+        total = {n: total[n] + (r[n] or 0) for n in sums}
+    shape = "part int, " + ", ".join(f"{n} long" for n in sums)
+    return table.join(F.broadcast(table.sparkSession.createDataFrame(rows, shape)), "part"), total
+
+
 # ---------------------------------------------------------------- words and shingles
 
 _rng = np.random.default_rng(20240607)
