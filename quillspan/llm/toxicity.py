@@ -3,6 +3,9 @@
 score = sigmoid(w0 + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j) over the terms present in a text. The pairwise part
 learns combinations (an insult together with a group mention) that additive weights miss; it costs no more than the
 linear part since sum_{i<j} <v_i, v_j> = ((sum v_i)^2 - sum v_i^2) / 2.
+
+Terms enter the model by what they say alone or by what two of them say together beyond the sum of both, so words that
+mean nothing without each other are learned too. Settings are compared on a fold inside the training rows.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_bytes, word_hashes
@@ -19,11 +22,19 @@ from .common import arrow_bytes, word_hashes
 #: Hash space of terms, in bits.
 BITS = 32
 _FRONT = np.int64(BITS - 20)
-#: Labelled rows that the fit may gather on the driver: the rows with the least id hash, at most so many.
+#: Labelled rows that the fit may gather on the driver: the rows with the least id hash, at most so many; and the
+#: terms of these rows (4 bytes each), after which no further row is gathered.
 MAX_ROWS = 20_000
-#: Association of a term with the label (chi-square, one degree of freedom) from which it enters the model.
-CHI2 = 20.0
+MAX_TERMS = 30_000_000
+#: Rows that must hold a term, or two terms together, for their association with the label to count.
+MIN_ROWS = 3
+#: The most frequent terms, so many, are tested in pairs; and the association (chi-square) from which a pair enters.
+PAIR_TERMS = 3000
+PAIR_CHI2 = 40.0
 RANK = 4
+#: Settings compared on the inner fold: association of a term with the label (chi-square) from which it enters alone,
+#: and decay of the parameters.
+SETTINGS = ((20.0, 0.01), (20.0, 0.05), (12.0, 0.01), (12.0, 0.05))
 
 _SPLIT = np.zeros(256, bool)
 _SPLIT[:128] = [not chr(c).isalnum() for c in range(128)]
@@ -73,49 +84,101 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(ids: list[np.ndarray], labels: np.ndarray, rank: int = RANK, epochs: int = 30, least_steps: int = 1000, rate: float = 0.05, l2: float = 1e-4, l2_pairs: float = 1e-2, seed: int = 7) -> FactorizationMachine:
-    """Fit by mini-batch Adam on distinct term ids per text and 0/1 labels, for so many epochs and steps at least.
-    Without both labels the model is a constant."""
-    n, pos = len(labels), int(labels.sum())
-    none = np.zeros(0, np.int64)
+@dataclass
+class Sample:
+    """Terms of labelled rows: `flat` holds them row after row, `own` the row of each."""
+
+    flat: np.ndarray
+    own: np.ndarray
+    labels: np.ndarray
+
+    @staticmethod
+    def of(ids: list[np.ndarray], labels: np.ndarray) -> Sample:
+        # 32-bit numbers keep the driver's memory at a few bytes for each term of the sample
+        flat = np.concatenate([np.zeros(0, np.uint32), *ids]).astype(np.uint32)
+        return Sample(flat, np.repeat(np.arange(len(labels), dtype=np.int32), [len(x) for x in ids]), labels)
+
+    def rows(self, keep: np.ndarray) -> Sample:
+        on = keep[self.own]
+        return Sample(self.flat[on], (np.cumsum(keep) - 1)[self.own[on]].astype(np.int32), self.labels[keep])
+
+    def places(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the sorted terms of those that rows hold, and the rows, in bounded pieces."""
+        at, rows = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+        for k in range(0, len(self.flat) if len(terms) else 0, 1 << 20):
+            piece = self.flat[k : k + (1 << 20)]
+            place = np.searchsorted(terms, piece)
+            place[place == len(terms)] = 0
+            hit = terms[place] == piece
+            at.append(place[hit].astype(np.int32))
+            rows.append(self.own[k : k + (1 << 20)][hit])
+        return np.concatenate(at), np.concatenate(rows)
+
+
+def single_terms(s: Sample) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Terms in at least MIN_ROWS rows (and not in all), their rows, rows labelled 1, and chi-square with the label."""
+    n, pos = len(s.labels), s.labels.sum()
+    vocab, df = np.unique(s.flat, return_counts=True)
+    keep = (df >= MIN_ROWS) & (df < n)
+    vocab, df = vocab[keep], df[keep].astype(float)
+    idx, rows = s.places(vocab)
+    hit = np.bincount(idx, s.labels[rows], len(vocab))
+    return vocab, df, hit, (hit - df * pos / n) ** 2 / (df * (pos / n) * (1 - pos / n) * (1 - df / n))
+
+
+def pair_terms(s: Sample, vocab: np.ndarray, df: np.ndarray, hit: np.ndarray) -> np.ndarray:
+    """Terms that say something together with another one, beyond the sum of what both say alone.
+
+    Rows that hold both are counted for all pairs of the PAIR_TERMS most frequent terms (of those in at most half the
+    rows), by products of row blocks; the expected share of label 1 is that of the first plus that of the second less
+    the overall one.
+    """
+    n, base = len(s.labels), s.labels.mean()
+    able = np.flatnonzero(df <= n / 2)
+    top = np.sort(able[np.lexsort((vocab[able], -df[able]))[:PAIR_TERMS]])
+    m = len(top)
+    if m < 2:
+        return np.zeros(0, np.uint32)
+    idx, rows = s.places(vocab[top])
+    bounds = np.searchsorted(rows, np.arange(0, n + 1024, 1024))
+    both, ones = np.zeros((m, m), np.float32), np.zeros((m, m), np.float32)
+    for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+        block = np.zeros((min(1024, n - 1024 * k), m), np.float32)
+        block[rows[a:b] - 1024 * k, idx[a:b]] = 1
+        both += block.T @ block
+        block = block[s.labels[1024 * k : 1024 * (k + 1)] > 0]
+        ones += block.T @ block
+    share = (hit[top] / df[top]).astype(np.float32)
+    out = np.zeros(m, bool)
+    for i in range(0, m, 512):  # a stripe of the table at a time
+        e = np.clip(share[i : i + 512, None] + share[None, :] - base, base / 10, 1 - (1 - base) / 10)
+        c, y = both[i : i + 512], ones[i : i + 512]
+        var = c * e * (1 - e)
+        odd = (c >= MIN_ROWS) & (var >= 2) & ((y - c * e) ** 2 >= PAIR_CHI2 * var)
+        odd[np.arange(len(odd)), np.arange(i, i + len(odd))] = False
+        out[i : i + 512] |= odd.any(1)
+        out |= odd.any(0)
+    return vocab[top[out]]
+
+
+def fit(s: Sample, terms: np.ndarray, decay: float, rank: int = RANK, epochs: int = 30, least_steps: int = 1500, rate: float = 0.05, seed: int = 7) -> FactorizationMachine:
+    """Fit the parameters of the chosen terms by mini-batch Adam with decoupled decay and a falling rate, for so many
+    epochs and steps at least. Without both labels the model is a constant."""
+    n, pos = len(s.labels), int(s.labels.sum())
     w0 = float(np.log((pos + 0.5) / (n - pos + 0.5)))
     if not pos or pos == n:
-        return FactorizationMachine(w0, none, np.zeros(0), np.zeros((0, rank)))
-    # 32-bit numbers and bounded pieces keep the driver's memory at a few bytes for each term of the sample
-    flat, own = np.concatenate(ids).astype(np.uint32), np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in ids])
-    vocab, often = np.unique(flat, return_counts=True)
-    vocab = vocab[often >= 3]
-
-    def number_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in vocab of the terms that it holds, and the rows they are in."""
-        at, rows = [], []
-        for k in range(0, len(flat) if len(values) else 0, 1 << 20):
-            place = np.searchsorted(values, flat[k : k + (1 << 20)])
-            place[place == len(values)] = 0
-            hit = values[place] == flat[k : k + (1 << 20)]
-            at.append(place[hit].astype(np.int32))
-            rows.append(own[k : k + (1 << 20)][hit])
-        return (np.concatenate(at), np.concatenate(rows)) if at else (np.zeros(0, np.int32), np.zeros(0, np.int32))
-
-    idx, rows_of = number_of(vocab)
-    df = np.bincount(idx, minlength=len(vocab)).astype(float)
-    hit = np.bincount(idx, labels[rows_of], minlength=len(vocab))
-    expect = df * pos / n
-    with np.errstate(divide="ignore", invalid="ignore"):
-        chi2 = (hit - expect) ** 2 / (df * (pos / n) * (1 - pos / n) * (1 - df / n))
-    chosen = vocab[(df < n) & (chi2 >= CHI2)]
-    del idx, rows_of
-    idx, own = number_of(chosen)
-    terms = chosen.astype(np.int64)
+        return FactorizationMachine(w0, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, rank)))
+    labels = s.labels
+    idx, own = s.places(terms)
     rng = np.random.default_rng(seed)
     m = len(terms)
-    p = np.concatenate([[w0], np.zeros(m), rng.normal(0, 0.02, m * rank)])
+    p = np.concatenate([[w0], np.zeros(m), rng.normal(0, 0.1, m * rank)])
     g1, g2 = np.zeros_like(p), np.zeros_like(p)
     bounds = np.searchsorted(own, np.arange(n + 1))
-    decay = np.concatenate([np.full(m + 1, l2), np.full(m * rank, l2_pairs)])
-    step = 0
     batches = max(1, n // 256)
-    for _ in range(max(epochs, -(-least_steps // batches))):
+    rounds = max(epochs, -(-least_steps // batches))
+    step = 0
+    for _ in range(rounds):
         for rows in np.array_split(rng.permutation(n), batches):
             k = bounds[rows + 1] - bounds[rows]
             at = np.repeat(bounds[rows] - np.r_[0, np.cumsum(k)[:-1]], k) + np.arange(k.sum())
@@ -123,29 +186,62 @@ def fit(ids: list[np.ndarray], labels: np.ndarray, rank: int = RANK, epochs: int
             w, v = p[1 : m + 1], p[m + 1 :].reshape(m, rank)
             z = p[0] + np.bincount(d, w[j], len(rows))
             vj = v[j]
-            s = np.stack([np.bincount(d, vj[:, f], len(rows)) for f in range(rank)], 1)
+            sums = np.stack([np.bincount(d, vj[:, f], len(rows)) for f in range(rank)], 1)
             q = np.bincount(d, (vj * vj).sum(1), len(rows))
-            z += 0.5 * ((s * s).sum(1) - q)
+            z += 0.5 * ((sums * sums).sum(1) - q)
             e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[rows]) / len(rows)
-            grad = decay * p
-            grad[0] = e.sum()
-            grad[1 : m + 1] += np.bincount(j, e[d], m)
-            gv = e[d][:, None] * (s[d] - vj)
-            grad[m + 1 :] += np.stack([np.bincount(j, gv[:, f], m) for f in range(rank)], 1).ravel()
+            gv = e[d][:, None] * (sums[d] - vj)
+            grad = np.concatenate([[e.sum()], np.bincount(j, e[d], m), np.stack([np.bincount(j, gv[:, f], m) for f in range(rank)], 1).ravel()])
             step += 1
             g1 = 0.9 * g1 + 0.1 * grad
             g2 = 0.999 * g2 + 0.001 * grad * grad
-            p = p - rate * (g1 / (1 - 0.9**step)) / (np.sqrt(g2 / (1 - 0.999**step)) + 1e-8)
-    return FactorizationMachine(float(p[0]), terms, p[1 : m + 1].copy(), p[m + 1 :].reshape(m, rank).copy())
+            now = rate * (1 - (step - 1) / (rounds * batches))
+            p[1:] -= now * decay * p[1:]
+            p -= now * (g1 / (1 - 0.9**step)) / (np.sqrt(g2 / (1 - 0.999**step)) + 1e-8)
+    return FactorizationMachine(float(p[0]), terms.astype(np.int64), p[1 : m + 1].copy(), p[m + 1 :].reshape(m, rank).copy())
+
+
+def fit_sample(s: Sample, inner: np.ndarray, settings=SETTINGS) -> FactorizationMachine:
+    """The model of all rows under the settings that lose least on the inner fold, having been fitted on the others."""
+    best = settings[0]
 
+    def chosen(part: Sample, bounds: set[float]) -> dict[float, np.ndarray]:
+        if not 0 < part.labels.sum() < len(part.labels):
+            return dict.fromkeys(bounds, np.zeros(0, np.uint32))
+        vocab, df, hit, chi2 = single_terms(part)
+        pairs = pair_terms(part, vocab, df, hit)
+        return {c: np.union1d(vocab[chi2 >= c], pairs) for c in bounds}
 
-def held_out(id_col: str):
-    """True for the fold that the fit never sees: crc32 of the id as text, modulo 5, is 0 (a null id: the empty text)."""
-    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
+    fold = s.rows(inner)
+    if len(settings) > 1 and 0 < fold.labels.sum() < len(fold.labels):
+        rest = s.rows(~inner)
+        terms = chosen(rest, {c for c, _ in settings})
+
+        def loss(model: FactorizationMachine) -> float:
+            idx, own = fold.places(model.terms.astype(np.uint32))
+            p = np.clip(model.scores(len(fold.labels), own, idx), 1e-6, 1 - 1e-6)
+            return float(-np.mean(fold.labels * np.log(p) + (1 - fold.labels) * np.log(1 - p)))
+
+        best = min(settings, key=lambda c: loss(fit(rest, terms[c[0]], c[1])))
+    return fit(s, chosen(s, {best[0]})[best[0]], best[1])
+
+
+def checksum(id_col: str) -> Column:
+    """crc32 of the id as text (a null id: the empty text)."""
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
+
+
+def held_out(id_col: str) -> Column:
+    """True for the fold that the fit never sees."""
+    return checksum(id_col) % 5 == 0
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS) -> FactorizationMachine:
-    """Fit on labelled rows outside the held-out fold, at most max_rows of them by least id hash (the driver's bound)."""
+    """Fit on labelled rows outside the held-out fold, at most max_rows of them (and MAX_TERMS terms) by least id hash:
+    the driver's bound. The fold by which settings are chosen is remainder 1 of the same checksum, a part of the
+    training rows. A label other than 0 and 1 and a null id teach nothing; of two labels of an id 1 counts; an id
+    that many rows repeat teaches by the least of their term lists.
+    """
     lab = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col))
     lab = lab.groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
     lab = lab.orderBy(F.xxhash64("id"), "id").limit(max_rows)
@@ -165,10 +261,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(lab), "id")
     kind = dict(docs.dtypes)[id_col]
     lists = rows.select("id", "text", "label").mapInArrow(terms, f"id {kind}, label int, terms binary")
-    # an id that many rows repeat gives one list, so that max_rows bounds what the driver gathers
-    got = lists.groupBy("id").agg(F.max("label").alias("label"), F.min("terms").alias("terms")).toArrow().to_pandas().sort_values("id")
-    ids = [np.frombuffer(t, np.uint32) for t in got["terms"]]
-    return fit(ids, got["label"].to_numpy(float))
+    # an id that many rows repeat gives one list
+    per = lists.groupBy("id").agg(F.max("label").alias("label"), F.min("terms").alias("terms")).withColumn("inner", checksum("id") % 5 == 1)
+    ids, got, fold, held = [], [], [], 0
+    for r in per.orderBy(F.xxhash64("id"), "id").toLocalIterator():
+        held += len(r.terms) // 4
+        if held > MAX_TERMS and ids:
+            break
+        ids.append(np.frombuffer(bytes(r.terms), np.uint32))
+        got.append(r.label)
+        fold.append(r.inner)
+    return fit_sample(Sample.of(ids, np.array(got, float)), np.array(fold, bool))
 
 
 def score_texts(df: DataFrame, model: FactorizationMachine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,7 +302,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows predicted toxic, columns unchanged; texts pass through one map, nothing is shuffled."""
+    """docs without the rows predicted toxic, columns unchanged; texts pass through one map, nothing is shuffled.
+
+    Rows are judged one by one: null ids, repeated rows and other columns pass as they are; null and empty texts score
+    the constant; an empty table gives an empty one.
+    """
     model = train(docs, labels, id_col, text_col)
 
     def run(batches: Iterator) -> Iterator:

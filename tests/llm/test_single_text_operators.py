@@ -262,6 +262,47 @@ def test_toxicity_learns_pairs(spark):
     assert kept.columns == docs.columns and kept.count() == sum(1 - r.predicted for r in got.values())
 
 
+def matched(n=3000, seed=4):
+    """Toxic where word and group match; no word says anything alone."""
+    rng = random.Random(seed)
+    rows = []
+    for k in range(n):
+        i, j = rng.randrange(2), rng.randrange(2)
+        words = [f"w{rng.randrange(400)}" for _ in range(25)] + [("scumlord", "vilething")[i], ("lefties", "northerners")[j]]
+        rng.shuffle(words)
+        rows.append((k, " ".join(words), int(i == j)))
+    return rows
+
+
+def test_toxicity_lives_on_pairs(spark):
+    """Without single effects only the pair factors can tell; without them the model is a coin."""
+    rows = matched()
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    flat = toxicity.FactorizationMachine(model.w0, model.terms, model.w, model.v * 0)
+    truth = {i: y for i, _, y in rows}
+
+    def accuracy(m):
+        return np.mean([r.predicted == truth[r.doc_id] for r in toxicity.score_texts(docs, m).where("held_out").collect()])
+
+    assert accuracy(model) > 0.95 and accuracy(flat) < 0.65 and np.abs(model.v).max() > 0.3
+
+
+def test_toxicity_bounds(spark, monkeypatch):
+    rows = labelled(300)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    sizes = []
+    monkeypatch.setattr(toxicity, "fit_sample", lambda s, inner: sizes.append((len(s.labels), len(s.flat), int(inner.sum()))))
+    toxicity.train(docs, labels)
+    toxicity.train(docs, labels, max_rows=50)
+    monkeypatch.setattr(toxicity, "MAX_TERMS", 500)
+    toxicity.train(docs, labels)
+    assert sizes[0][0] > 200 and sizes[1][0] == 50 and sizes[2][1] <= 500 and 0 < sizes[2][0] < 50
+    assert sizes[0][2] == sum(zlib.crc32(str(i).encode()) % 5 == 1 for i, *_ in rows)
+
+
 def test_toxicity_model_formula():
     m = toxicity.FactorizationMachine(-0.5, np.array([3, 9, 40]), np.array([0.2, -0.1, 0.4]), np.array([[1.0, 0.5], [-0.3, 0.2], [0.7, 0.1]]))
     present = [[0, 1, 2], [], [1, 2]]
