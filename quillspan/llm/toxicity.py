@@ -34,7 +34,7 @@ PAIR_CHI2 = 40.0
 RANK = 4
 #: Settings compared on the inner fold: association of a term with the label (chi-square) from which it enters alone,
 #: and decay of the parameters.
-SETTINGS = ((20.0, 0.01), (20.0, 0.05), (12.0, 0.01), (12.0, 0.05))
+SETTINGS = ((20.0, 0.001), (20.0, 0.004), (40.0, 0.004))
 
 _SPLIT = np.zeros(256, bool)
 _SPLIT[:128] = [not chr(c).isalnum() for c in range(128)]
@@ -130,8 +130,8 @@ def pair_terms(s: Sample, vocab: np.ndarray, df: np.ndarray, hit: np.ndarray) ->
     """Terms that say something together with another one, beyond the sum of what both say alone.
 
     Rows that hold both are counted for all pairs of the PAIR_TERMS most frequent terms (of those in at most half the
-    rows), by products of row blocks; the expected share of label 1 is that of the first plus that of the second less
-    the overall one.
+    rows), by products of row blocks. Where two terms add up, the share of label 1 is that of the first plus that of
+    the second less the overall one.
     """
     n, base = len(s.labels), s.labels.mean()
     able = np.flatnonzero(df <= n / 2)
@@ -151,8 +151,12 @@ def pair_terms(s: Sample, vocab: np.ndarray, df: np.ndarray, hit: np.ndarray) ->
     share = (hit[top] / df[top]).astype(np.float32)
     out = np.zeros(m, bool)
     for i in range(0, m, 512):  # a stripe of the table at a time
-        e = np.clip(share[i : i + 512, None] + share[None, :] - base, base / 10, 1 - (1 - base) / 10)
+        x, z = np.broadcast_arrays(share[i : i + 512, None], share[None, :])
+        both_add = x + z - base
         c, y = both[i : i + 512], ones[i : i + 512]
+        # terms that go together anyway are no pair: a share anywhere between one term's own and the sum is expected
+        e = np.clip(y / np.maximum(c, 1), np.minimum(np.minimum(x, z), both_add), np.maximum(np.maximum(x, z), both_add))
+        e = np.clip(e, base / 10, 1 - (1 - base) / 10)
         var = c * e * (1 - e)
         odd = (c >= MIN_ROWS) & (var >= 2) & ((y - c * e) ** 2 >= PAIR_CHI2 * var)
         odd[np.arange(len(odd)), np.arange(i, i + len(odd))] = False
