@@ -2,11 +2,13 @@
 
 Texts and items are sequences of words. The CGK random walk copies a sequence to a longer one, repeating each symbol or
 moving on as a random function of step and symbol says; sequences at a small edit distance then agree in most places,
-so edit distance becomes Hamming distance. Bit-sampling LSH on the walks selects windows, and those are verified by
-exact edit distance.
+so edit distance becomes Hamming distance. A walk is started at every word of a text: its windows are the size of an
+item, of items over STRETCH words the size of their stretches of so many. A band samples a few places of the walk that
+lie near each other; a window that agrees with an item in a whole band is verified by exact edit distance. Several
+walks, each with bands along its length, reach the target recall (see WALKS).
 
-A window within k edits of an item of n words keeps a run of three of its words when k < (n - 2) / 3 (k edits leave
-n - k words in at most k + 1 runs), so only windows that hold such a run in place are embedded; no other can verify.
+Walks that meet at a word go on as one, so from one block of steps to the next only the distinct walks are followed:
+their number falls with the square root of the steps, which is what makes a walk from every word affordable.
 """
 
 from __future__ import annotations
@@ -18,41 +20,65 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_bytes, mix64, shingle_hashes, word_hashes
+from .common import arrow_bytes, mix64, word_hashes
 from .toxicity import _SPLIT
 
 _U = np.uint64
-GRAM = 3
 #: Edits allowed as a share of an item's words.
 EDITS = 0.25
-#: Walks, and bands of sampled places on each; a window is verified if on some walk one band agrees throughout.
-WALKS, BANDS, SAMPLES = 4, 64, 3
-#: Items matched in one pass over the documents (about 20 MB of index); larger benchmarks take more passes.
-ITEMS = 20_000
+#: Words that one walk embeds, steps that it takes over them, and steps of a block, whose bands sample inside it.
+STRETCH, STEPS, BLOCK = 24, 48, 8
+#: Places that the bands of a block sample, by the number of places: one finds items that allow no edit, two those of
+#: under eight words, three all others.
+#: Items of at least so many words leave out the first block, where every walk is still on its own.
+LATE = 12
+BANDS = {1: ((0,),), 2: ((0, 3), (1, 4), (2, 5), (3, 6), (4, 7)), 3: ((0, 3, 6), (1, 4, 7), (0, 2, 5), (2, 4, 7))}
+#: Walks for items of at most so many words: with them 0.97 of the items that have all allowed edits, and more of the
+#: others, are found, as measured by `recall`; longer items have more stretches and need no more.
+WALKS = ((3, 1), (7, 5), (11, 6), (13, 8), (17, 5), (23, 4), (1 << 30, 3))
+#: Words of the items matched in one pass over the documents (about 60 bytes of index for each); larger benchmarks
+#: take more passes.
+ITEM_WORDS = 4_000_000
 
 
 def allowed(n: int, share: float = EDITS) -> int:
-    """Edits allowed for an item of n words: the share, but never so many that the run of three words may vanish."""
-    return max(0, min(int(n * share), -(-(n - 2) // 3) - 1))
+    """Edits allowed for an item of n words."""
+    return int(n * share)
 
 
-def cgk_bit(step: int, walk: int, symbols: np.ndarray) -> np.ndarray:
-    """Random function of step, walk and symbol to 0 or 1."""
-    salt = _U((walk * 0x9E3779B97F4A7C15 + (step // 48) * 0xC2B2AE3D27D4EB4F) & (2**64 - 1))
-    return (mix64(symbols ^ salt) >> _U(step % 48 + 8)) & _U(1)
+def walks_for(n: int) -> int:
+    return next(w for most, w in WALKS if n <= most)
 
 
-def cgk(words: np.ndarray, walk: int) -> np.ndarray:
-    """CGK walk of a sequence: 3n symbols, 0 past its end."""
-    n, i = len(words), 0
-    out = np.zeros(3 * n, _U)
-    for t in range(3 * n):
-        if i < n:
-            out[t] = words[i]
-            i += int(cgk_bit(t, walk, words[i : i + 1])[0])
+def places_for(n: int, k: int) -> int:
+    return 1 if k == 0 else 2 if n < 8 else 3
+
+
+def walk_bits(words: np.ndarray, walk: int) -> np.ndarray:
+    """Random functions of symbol and step of a walk: bit t of a symbol's number says whether step t moves on."""
+    return mix64(words ^ _U((walk * 0x9E3779B97F4A7C15 + 0xC2B2AE3D27D4EB4F) & (2**64 - 1)))
+
+
+def cgk(words: np.ndarray, walk: int, steps: int = STEPS) -> np.ndarray:
+    """CGK walk of a sequence: the place of the symbol that each step copies, the length past its end."""
+    bits, i = walk_bits(words, walk), 0
+    out = np.full(steps, len(words), np.int64)
+    for t in range(steps):
+        if i == len(words):
+            break
+        out[t] = i
+        i += int(bits[i] >> _U(t)) & 1
     return out
 
 
+def _coefficients() -> np.ndarray:
+    rng = np.random.default_rng(17)
+    return rng.integers(0, 2**63, (8, STEPS // BLOCK, 4, 8, 4), dtype=_U) * _U(2) + _U(1)
+
+
+_COEF = _coefficients()
+
+
 def edit_distance(item: np.ndarray, region: np.ndarray) -> tuple[int, int]:
     """Least edits between the item and any stretch of the region, and where the first best stretch ends."""
     ramp = np.arange(len(region) + 1)
@@ -68,140 +94,215 @@ def edit_distance(item: np.ndarray, region: np.ndarray) -> tuple[int, int]:
 
 @dataclass
 class Index:
-    """One block of items: their words, the runs of three (or of all words of shorter items) and the walks."""
+    """One block of items: their words end to end, and the band keys of their stretches, sorted."""
 
     ids: list
     words: list[np.ndarray]
     share: float = EDITS
 
     def __post_init__(self) -> None:
-        self.k = np.array([allowed(len(w), self.share) for w in self.words], np.int64)
         self.n = np.array([len(w) for w in self.words], np.int64)
-        self.grams = {}
-        for g in range(1, GRAM + 1):
-            own = [i for i, w in enumerate(self.words) if min(len(w), GRAM) == g]
-            if own:
-                h = [shingle_hashes(self.words[i], g) for i in own]
-                item, place = np.repeat(own, [len(x) for x in h]), np.concatenate([np.arange(len(x)) for x in h])
-                flat = np.concatenate(h)
-                order = np.argsort(flat, kind="stable")
-                bits = np.zeros(1 << 22, bool)
-                bits[flat >> _U(42)] = True
-                self.grams[g] = flat[order], item[order], place[order], bits
-        longest = int(self.n.max(initial=0))
-        rng = np.random.default_rng(5)
-        # places that a band samples, as shares of the walk's length
-        spots = rng.uniform(0, 1, (WALKS, BANDS, SAMPLES))
-        self.walks = np.zeros((WALKS, len(self.words), 3 * longest), _U)
-        self.masks = np.zeros((WALKS, len(self.words), 3 * longest), _U)
-        for i, w in enumerate(self.words):
-            for r in range(WALKS):
-                self.walks[r, i, : 3 * len(w)] = cgk(w, r)
-                at = (spots[r] * 3 * len(w)).astype(np.int64)
-                for b in range(BANDS):
-                    self.masks[r, i, at[b]] |= _U(1 << b)
-
-    def windows(self, words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, item, start) of the windows that hold a run of the item in place; at: first word of each text."""
-        out = []
-        for g, (flat, item, place, bits) in self.grams.items():
-            h = shingle_hashes(words, g)
-            pos = np.flatnonzero(bits[h >> _U(42)])
-            lo, hi = np.searchsorted(flat, h[pos], "left"), np.searchsorted(flat, h[pos], "right")
-            pos, count, lo = pos[hi > lo], (hi - lo)[hi > lo], lo[hi > lo]
-            if not len(pos):
-                continue
-            doc = np.searchsorted(at, pos, "right") - 1
-            inside = pos + g <= at[doc + 1]
-            pos, count, lo, doc = pos[inside], count[inside], lo[inside], doc[inside]
-            entry = np.repeat(lo - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
-            out.append(np.stack([np.repeat(doc, count), item[entry], np.repeat(pos, count) - place[entry]], 1))
-        if not out:
-            return (np.zeros(0, np.int64),) * 3
-        w = np.unique(np.concatenate(out), axis=0)
-        return w[:, 0], w[:, 1], w[:, 2]
-
-    def survive(self, words: np.ndarray, at: np.ndarray, doc: np.ndarray, item: np.ndarray, start: np.ndarray) -> np.ndarray:
-        """Windows that agree with their item in one band of some walk (words past a text's ends are never equal)."""
-        lo, hi = at[doc], at[doc + 1]
-        padded = np.r_[words, _U(0)]
-        found = np.zeros(len(doc), bool)
-        n = self.n[item]
-        order = np.argsort(-n, kind="stable")
-        for r in range(WALKS):
-            live = order[~found[order]]
-            i = np.zeros(len(live), np.int64)
-            dead = np.zeros(len(live), _U)
-            for t in range(3 * int(n.max(initial=0))):
-                m = int(np.searchsorted(-3 * n[live], -t, "left"))  # windows with more than t steps
-                if not m:
-                    break
-                w = live[:m]
-                p = start[w] + i[:m]
-                ok = (i[:m] < n[w]) & (p >= lo[w]) & (p < hi[w])
-                sym = np.where(ok, padded[np.where(ok, p, len(words))], _U(0))
-                differs = sym != self.walks[r, item[w], t]
-                dead[:m] |= np.where(differs, self.masks[r, item[w], t], _U(0))
-                # outside its text a window moves on, so that a shifted passage is still walked
-                i[:m] += np.where(ok, cgk_bit(t, r, sym), _U(1)).astype(np.int64)
-            found[live] = dead != ~_U(0)
-        return found
-
-    def verify(self, words: np.ndarray, at: np.ndarray, doc: np.ndarray, item: np.ndarray, start: np.ndarray) -> list[tuple[int, int, int, int]]:
+        self.k = np.array([allowed(int(n), self.share) for n in self.n], np.int64)
+        # stretches: of longer items one after the other, the last one up to the end
+        item, start = [], []
+        for i, n in enumerate(self.n.tolist()):
+            at = [*range(0, n - STRETCH, STRETCH), n - STRETCH] if n > STRETCH else [0]
+            item += [i] * len(at)
+            start += at
+        item, start = np.array(item, np.int64), np.array(start, np.int64)
+        size = np.minimum(self.n[item], STRETCH) if len(item) else np.zeros(0, np.int64)
+        flat = np.concatenate([*self.words, np.zeros(1, _U)])
+        first = np.r_[0, np.cumsum(self.n)]
+        places = np.array([places_for(int(n), int(k)) for n, k in zip(self.n, self.k, strict=True)], np.int64)
+        walks = np.array([walks_for(int(n)) if k else 1 for n, k in zip(self.n, self.k, strict=True)], np.int64)
+        self.kinds = sorted(set(places.tolist()))
+        self.early = bool((self.n < LATE).any())
+        self.walks = int(walks.max(initial=0))
+        #: steps that each walk must take: those over the longest item that uses it
+        self.steps = [int(min(STEPS, 2 * size[walks[item] > r].max(initial=0))) for r in range(self.walks)]
+        keys, entry, place = [], [], []
+        for r in range(self.walks):
+            on = np.flatnonzero(walks[item] > r)
+            base, length = first[item[on]] + start[on], size[on]
+            i = np.zeros(len(on), np.int64)
+            at = np.empty((STEPS, len(on)), np.int64)
+            bits = walk_bits(flat, r)
+            for t in range(self.steps[r]):
+                at[t] = i
+                i = i + ((bits[base + np.minimum(i, length - 1)] >> _U(t)) & _U(1)).astype(np.int64) * (i < length)
+            for j, p, b, band in self.bands(r, early=True):
+                # places that copy one word twice would tell less
+                use = (places[item[on]] == p) & (at[band[-1]] < length) & (np.diff(at[list(band)], axis=0) > 0).all(0)
+                if not j:
+                    use &= self.n[item[on]] < LATE
+                if use.any():
+                    keys.append(self.key(r, j, p, b, [flat[base[use] + at[t, use]] for t in band]))
+                    entry.append(item[on][use])
+                    place.append(start[on][use] + at[band[0], use])
+        keys = np.concatenate([np.zeros(0, _U), *keys])
+        order = np.argsort(keys, kind="stable")
+        self.keys = keys[order]
+        self.entry = np.concatenate([np.zeros(0, np.int64), *entry])[order].astype(np.int32)
+        self.place = np.concatenate([np.zeros(0, np.int64), *place])[order].astype(np.int32)
+        self.shift = _U(64 - min(26, max(16, (32 * len(keys)).bit_length())))
+        self.maybe = np.zeros(1 << int(64 - int(self.shift)), bool)
+        self.maybe[self.keys >> self.shift] = True
+
+    def bands(self, walk: int, early: bool) -> Iterator[tuple[int, int, int, tuple[int, ...]]]:
+        """(block, places, band, steps sampled) of the bands of a walk; early: with those of the first block."""
+        for j in range(0 if early else 1, -(-self.steps[walk] // BLOCK)):
+            for p in self.kinds:
+                if p > 1 or (walk == 0 and j == 0):
+                    for b, band in enumerate(BANDS[p]):
+                        steps = tuple(BLOCK * j + t for t in band)
+                        if steps[-1] < self.steps[walk]:
+                            yield j, p, b, steps
+
+    @staticmethod
+    def key(walk: int, j: int, p: int, b: int, symbols: list[np.ndarray]) -> np.ndarray:
+        c = _COEF[walk, j, p, b]
+        out = symbols[0] * c[0] + c[3]
+        for s, m in zip(symbols[1:], c[1:], strict=False):
+            out = out + s * m
+        return out
+
+    def candidates(self, words: np.ndarray, walks: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, place in the item, place in the words) where a window agrees with an item in a whole band."""
+        out = [np.zeros((0, 3), np.int64)]
+        text = np.r_[words, _U(0)]
+        for r in range(self.walks if walks is None else min(walks, self.walks)):
+            # the eight bits of a block, a byte a word: eight times less to gather from
+            bits = walk_bits(text, r).astype("<u8").view(np.uint8).reshape(-1, 8)
+            q = np.arange(len(words))
+            todo: dict[int, list] = {}
+            for j, p, b, steps in self.bands(r, self.early):
+                todo.setdefault(j, []).append((p, b, [t - BLOCK * j for t in steps]))
+            for j in range(-(-self.steps[r] // BLOCK)):
+                if j and len(q):
+                    q = q[np.r_[True, q[1:] != q[:-1]]]  # walks keep their order: those that met lie side by side
+                at = [q]
+                move = np.ascontiguousarray(bits[:, j])
+                for t in range(BLOCK):
+                    g = np.take(move, q, mode="clip")
+                    g >>= t
+                    g &= 1
+                    q = q + g  # past the end a walk reads the last symbol, whose place is none of a text
+                    at.append(q)
+                q = np.minimum(q, len(words))
+                symbol: dict[int, np.ndarray] = {}
+                for p, b, steps in todo.get(j, ()):
+                    for t in steps:
+                        if t not in symbol:
+                            symbol[t] = np.take(text, at[t], mode="clip")
+                    key = self.key(r, j, p, b, [symbol[t] for t in steps])
+                    hit = np.flatnonzero(np.take(self.maybe, (key >> self.shift).view(np.int64), mode="clip"))
+                    if not len(hit):
+                        continue
+                    lo = np.searchsorted(self.keys, key[hit])
+                    some = self.keys[np.minimum(lo, len(self.keys) - 1)] == key[hit]
+                    hit, lo = hit[some], lo[some]
+                    count = np.searchsorted(self.keys, key[hit], "right") - lo
+                    e = np.repeat(lo - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
+                    out.append(np.stack([self.entry[e], self.place[e], np.repeat(at[steps[0]][hit], count)], 1))
+        c = np.unique(np.concatenate(out), axis=0)
+        return c[:, 0], c[:, 1], c[:, 2]
+
+    def verify(self, words: np.ndarray, at: np.ndarray, item: np.ndarray, place: np.ndarray, pos: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(text, item, edits, end word) of the best stretch of each text for each item, where few enough edits do."""
+        inside = pos < len(words)
+        item, place, pos = item[inside], place[inside], pos[inside]
+        doc = np.searchsorted(at, pos, "right") - 1
+        k, n = self.k[item], self.n[item]
+        # where the words at `place` and `pos` are one, the stretch lies in this region
+        a = np.maximum(at[doc], pos - place - k)
+        b = np.minimum(at[doc + 1], pos - place + n + k)
+        order = np.lexsort((a, item, doc))
+        doc, item, a, b = doc[order], item[order], a[order], b[order]
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        covered: dict[tuple[int, int], int] = {}
-        for d, i, s in zip(doc.tolist(), item.tolist(), start.tolist(), strict=True):
-            k, n = int(self.k[i]), int(self.n[i])
-            a, b = max(int(at[d]), s - k), min(int(at[d + 1]), s + n + k)
-            if best.get((d, i), (1,))[0] == 0 or b <= covered.get((d, i), -1):
+        s = 0
+        while s < len(doc):
+            d, i, lo, hi = doc[s], item[s], a[s], b[s]
+            while (s := s + 1) < len(doc) and doc[s] == d and item[s] == i and a[s] <= hi:
+                hi = max(hi, b[s])  # regions that overlap are one
+            most = int(self.k[i])
+            own, region = self.words[i], words[lo:hi]
+            # every word that is not edited must be there
+            if hi - lo < len(own) - most or np.isin(own, region).sum() < len(own) - most:
                 continue
-            # windows that start within a few words of each other share one wider region
-            b = min(int(at[d + 1]), b + 2 * k)
-            covered[d, i] = b
-            edits, end = edit_distance(self.words[i], words[a:b])
-            if edits <= k and edits < best.get((d, i), (k + 1,))[0]:
-                best[d, i] = edits, a + end - int(at[d])
+            edits, end = edit_distance(own, region)
+            if edits <= most:
+                key, found = (int(d), int(i)), (edits, int(lo + end - at[d]))
+                best[key] = min(best.get(key, found), found)
         return [(d, i, *v) for (d, i), v in sorted(best.items())]
 
     def matches(self, col) -> Iterator[tuple[int, int, int, int]]:
         """(text, item, edits, end word) over an Arrow column of texts."""
         data, off = arrow_bytes(col)
         for first, _, words, at, _ in word_hashes(data, off, _SPLIT):
-            doc, item, start = self.windows(words, at)
-            if len(doc):
-                ok = self.survive(words, at, doc, item, start)
-                for d, i, edits, end in self.verify(words, at, doc[ok], item[ok], start[ok]):
+            found = self.candidates(words)
+            if len(found[0]):
+                for d, i, edits, end in self.verify(words, at, *found):
                     yield first + d, i, edits, end
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, share: float = EDITS, size: int = ITEMS) -> Iterator[Index]:
-    """The items in blocks of bounded size; null, empty and wordless items are left out, equal texts kept."""
+def recall(n: int, walks: int | None = None, trials: int = 400, seed: int = 3, share: float = EDITS) -> float:
+    """Share of items of n words that the bands find in a text that holds them with all allowed edits."""
+    rng = np.random.default_rng([seed, n])
+    draw = lambda size: rng.integers(1, 2**63, size, dtype=_U)
+    items = [draw(n) for _ in range(trials)]
+    index = Index(list(range(trials)), items, share)
+    parts, at = [], [0]
+    for w in items:
+        w = list(w)
+        for place in sorted(rng.choice(n, allowed(n, share), replace=False), reverse=True):
+            gone, new = ((1, 1), (1, 0), (0, 1))[int(rng.integers(0, 3))]
+            w[place : place + gone] = list(draw(new))
+        parts.append(np.concatenate([draw(20), np.array(w, _U), draw(20)]))
+        at.append(at[-1] + len(parts[-1]))
+    item, _, pos = index.candidates(np.concatenate(parts), walks)
+    return len(set(item[np.searchsorted(np.array(at), pos, "right") - 1 == item].tolist())) / trials
+
+
+def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, share: float = EDITS, size: int = ITEM_WORDS) -> Iterator[Index]:
+    """The items in blocks of about `size` words; null, empty and wordless items are left out, equal texts kept."""
     import pyarrow as pa
 
+    ids: list = []
+    words: list[np.ndarray] = []
+    held = 0
     rows: list = []
 
-    def index(rows: list) -> Index:
+    def take() -> None:
+        nonlocal held
         data, off = arrow_bytes(pa.array([r[1] for r in rows], pa.large_string()))
-        words = [w[at[k] : at[k + 1]] for i, j, w, at, _ in word_hashes(data, off, _SPLIT) for k in range(j - i)]
-        keep = [k for k, w in enumerate(words) if len(w)]
-        return Index([rows[k][0] for k in keep], [words[k] for k in keep], share)
+        for i, j, w, at, _ in word_hashes(data, off, _SPLIT):
+            for k in range(i, j):
+                own = w[at[k - i] : at[k - i + 1]]
+                if len(own):
+                    ids.append(rows[k][0])
+                    words.append(own.copy())
+                    held += len(own)
+        rows.clear()
 
     for r in benchmark.select(id_col, text_col).where(F.col(text_col).isNotNull()).toLocalIterator():
         rows.append((r[0], r[1]))
-        if len(rows) == size:
-            yield index(rows)
-            rows = []
-    if rows:
-        yield index(rows)
+        if len(rows) == 1000:
+            take()
+            if held >= size:
+                yield Index(ids, words, share)
+                ids, words, held = [], [], 0
+    take()
+    if ids:
+        yield Index(ids, words, share)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", share: float = EDITS) -> DataFrame:
     """(id, item, edits, item_words, end_word): one row for each document and item of which it holds a stretch within
     the allowed edits (words inserted, deleted or replaced; case of A-Z and ASCII punctuation do not count).
 
-    Whole texts are read. Null, empty and wordless texts match nothing; an empty benchmark or document table gives an
-    empty result; repeated documents and items give repeated rows. Only the named columns are read.
+    Whole texts are read, once for each block of items. Null, empty and wordless texts match nothing; an empty
+    benchmark or document table gives an empty result; repeated documents and items give repeated rows. end_word is
+    the end of the first stretch of fewest edits. Only the named columns are read.
     """
     kind, item_kind = dict(docs.dtypes)[id_col], dict(benchmark.dtypes)[item_col]
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -230,7 +331,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", share: float = EDITS) -> DataFrame:
-    """docs without those that hold a benchmark item, columns unchanged; texts pass through one map for each block."""
+    """docs without those that hold a benchmark item, columns unchanged; texts pass through one map for each block.
+
+    Rows are judged one by one: null ids, repeated rows and other columns pass as they are; null, empty and wordless
+    texts stay; an empty benchmark drops nothing, an empty table gives an empty one.
+    """
 
     def keep(index: Index):
         def run(batches: Iterator) -> Iterator:
