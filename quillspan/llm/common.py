@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -81,6 +82,9 @@ _COEF = _rng.integers(0, 2**63, 64, dtype=_U) * _U(2) + _U(1)
 _R = 0x9E3779B97F4A7C15 | 5
 _RINV = pow(_R, -1, 2**64)
 _CHUNK = 1 << 19
+#: Bytes from which a word is hashed by a cryptographic digest: a polynomial modulo a power of two, as the shorter ones
+#: get, has equal values for some texts of 1024 bytes and more whatever its base.
+_LONG = 256
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -155,6 +159,8 @@ def word_hashes(data: np.ndarray, off: np.ndarray, split: np.ndarray | None = No
         acc = np.zeros(len(buf) + 1, _U)
         np.cumsum(_TAB[_LOW[buf]] * up[: len(buf)], out=acc[1:])
         h = mix64((acc[e] - acc[s]) * down[s] + (e - s).astype(_U))
+        for k in np.flatnonzero(e - s >= _LONG):
+            h[k] = int.from_bytes(hashlib.blake2b(_LOW[buf[s[k] : e[k]]].tobytes(), digest_size=8).digest(), "little")
         start = np.zeros(0, _U)
         if prefix:
             cut = np.minimum(s + prefix, e)

@@ -94,6 +94,36 @@ def test_ngram_join_in_small_blocks(spark, monkeypatch):
     assert sorted(map(tuple, got), key=repr) == brute_join(rows)
 
 
+@pytest.mark.parametrize("hot", [5, 250_000])
+def test_ngram_join_with_an_ngram_in_all_rows(spark, monkeypatch, hot):
+    """One n-gram in every row, and families that share most of theirs, with small bounds of every kind."""
+    for name, value in {"HOT": hot, "LOCAL": 2, "FLUSH": 400, "REDUCE": 300, "FAMILY": 50, "LEFT_GRAMS": 500, "RIGHT_GRAMS": 900}.items():
+        monkeypatch.setattr(ngram_join, name, value)
+    small = lambda df, size, member: common.block_cells(df, size, member, 6)
+    monkeypatch.setattr(ngram_join, "block_cells", small)
+    rng = random.Random(6)
+    rows = [(i, t + " the same five words stand here") for i, t in near_copies(3, families=6)]
+    rows += [(1000 + i, "only these few words") for i in range(30)] + [(2000 + i, f"the same five words stand here x{i % 7}") for i in range(40)]
+    rng.shuffle(rows)
+    got = ngram_join.ngram_jaccard_join(docs(spark, rows).repartition(5)).collect()
+    assert sorted(map(tuple, got), key=repr) == brute_join(rows)
+
+
+def test_words_that_a_polynomial_hash_confuses(spark):
+    """Thue-Morse words of a power of two: equal modulo 2^64 for every odd base."""
+    import pyarrow as pa
+
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+        other = word.translate(str.maketrans("ab", "ba"))
+        a, b = (list(w) for w in _texts(pa.array([word, other], pa.string())))
+        assert a != b
+        assert list(_texts(pa.array([word.upper()], pa.string())))[0][0] == a[0]
+    got = ngram_join.ngram_jaccard_join(docs(spark, [(1, word), (2, other), (3, word)])).collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 1, 1), (2, 1, 0, 2), (3, 1, 1, 1)]
+
+
 def test_ngram_join_of_nothing(spark):
     assert ngram_join.ngram_jaccard_join(docs(spark, [])).count() == 0
     assert [tuple(r) for r in ngram_join.ngram_jaccard_join(docs(spark, [(1, None)])).collect()] == [(1, 0, 0, 1)]
