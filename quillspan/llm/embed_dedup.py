@@ -67,15 +67,20 @@ def _rows(column) -> list[np.ndarray | None]:
     return out
 
 
-def _digests(batches: Iterator) -> Iterator:
-    import pyarrow as pa
+def _digests(kind: str):
+    """Class (digest of label and vector) and bytes of each usable vector, in the precision of its column."""
 
-    for batch in batches:
-        labels = batch.column(2).to_pylist()
-        xs = [x if y is not None else None for x, y in zip(_rows(batch.column(1)), labels, strict=True)]
-        c = [None if x is None else int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8, salt=int(y).to_bytes(16, "little", signed=True)).digest(), "little", signed=True) for x, y in zip(xs, labels, strict=True)]
-        data = [None if x is None else x.tobytes() for x in xs]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(labels, pa.int64()), pa.array(c, pa.int64()), pa.array(data, pa.binary())], names=["id", "label", "c", "x"])
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            labels = batch.column(2).to_pylist()
+            xs = [x if y is not None else None for x, y in zip(_rows(batch.column(1)), labels, strict=True)]
+            data = [None if x is None else x.astype(kind).tobytes() for x in xs]
+            c = [None if x is None else int.from_bytes(hashlib.blake2b(x, digest_size=8, salt=y.to_bytes(16, "little", signed=True)).digest(), "little", signed=True) for x, y in zip(data, labels, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(labels, pa.int64()), pa.array(c, pa.int64()), pa.array(data, pa.binary())], names=["id", "label", "c", "x"])
+
+    return run
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -83,7 +88,9 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _keys(k: int, tables: int):
+def _keys(k: int, tables: int, dtype: str):
+    """Bucket keys of each vector; and their upper halves, by which later tables know the pairs of earlier ones."""
+
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -93,16 +100,18 @@ def _keys(k: int, tables: int):
             out: list = [None] * len(data)
             for size in sorted({len(d) for d in data}):
                 rows = [i for i, d in enumerate(data) if len(d) == size]
-                x = _unit(np.stack([np.frombuffer(data[i], np.float64) for i in rows]))
-                for i, h in zip(rows, bucket_keys(x, label[rows], k, tables).astype(np.int64), strict=True):
+                x = _unit(np.stack([np.frombuffer(data[i], dtype).astype(np.float64) for i in rows]))
+                for i, h in zip(rows, bucket_keys(x, label[rows], k, tables), strict=True):
                     out[i] = h
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64())), batch.column(2)], names=["c", "keys", "x"])
+            half = [(h >> _U(32)).astype("<u4").tobytes() for h in out]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h.astype(np.int64) for h in out], pa.list_(pa.int64())), pa.array(half, pa.binary()), batch.column(2)], names=["c", "keys", "half", "x"])
 
     return run
 
 
-def _compare(threshold: float):
-    """Pairs of a cell with cosine >= threshold that meet in no earlier table."""
+def _compare(threshold: float, dtype: str):
+    """Pairs of a cell with cosine >= threshold that meet in no earlier table (by 32 bits of the keys: a pair that meets
+    in one table only is taken for an earlier one's with chance tables / 2^32)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frames = [b for b in batches if len(b)]
@@ -115,9 +124,9 @@ def _compare(threshold: float):
         for s, e in zip(edge, np.r_[edge[1:], len(rows)], strict=True):
             if e - s < 2:
                 continue
-            x = np.stack([np.frombuffer(v, np.float64) for v in rows["x"].iloc[s:e]])
+            x = np.stack([np.frombuffer(v, dtype) for v in rows["x"].iloc[s:e]]).astype(np.float64)
             x = _unit(x)
-            keys = np.stack(rows["keys"].iloc[s:e].to_list())[:, : t[s]]
+            keys = np.stack([np.frombuffer(v, "<u4") for v in rows["half"].iloc[s:e]])[:, : t[s]]
             own = block[s:e]
             left, right = np.flatnonzero(own == bi[s]), np.flatnonzero(own == bj[s])
             for at in range(0, len(left), 512):
@@ -138,26 +147,29 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: st
     """(id, n_links, component_id, kept) of every vector.
 
     Vectors of one label and dimension link when their cosine in double precision is >= threshold; pairs are found
-    with chance >= recall each and checked exactly. Vectors that are null, empty, zero or hold null or non-finite
+    with chance >= recall each and checked exactly. Labels may have any type and are equal as Spark has it (compared
+    by a 64-bit hash). Vectors that are null, empty, zero or hold null or non-finite
     parts, and those with a null label, link with nothing and are their own component. Equal vectors, repeated ids and
     repeated rows count as vectors of their own. kept is true where the id is its component's least. An empty table
     gives an empty result; only the named columns are read. label_col None compares all rows.
     """
     spark = df.sparkSession
-    label = F.lit(0) if label_col is None else F.col(label_col)
+    label = F.lit(0).cast("long") if label_col is None else F.when(F.col(label_col).isNotNull(), F.xxhash64(label_col))
     kind = dict(df.dtypes)[id_col]
-    narrow = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("x"), label.cast("long").alias("label"))
-    vecs = materialize(narrow.mapInArrow(_digests, f"id {kind}, label long, c long, x binary"), "vectors")
+    dtype = "<f4" if dict(df.dtypes)[vector_col] == "array<float>" else "<f8"
+    narrow = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("x"), label.alias("label"))
+    vecs = materialize(narrow.mapInArrow(_digests(dtype), f"id {kind}, label long, c long, x binary"), "vectors")
     classes = vecs.where("c is not null").groupBy("c").agg(F.first("label").alias("label"), F.first("x").alias("x"), F.count(F.lit(1)).alias("copies"), F.min("id").alias("least"))
     classes = materialize(classes, "vclasses")
     most = classes.groupBy("label").count().agg(F.max("count"), F.sum("count")).first()
     k, tables = plan(most[0] or 0, threshold, recall=recall)
-    hashed = materialize(classes.select("c", "label", "x").mapInArrow(_keys(k, tables), "c long, keys array<long>, x binary"), "vkeys")
+    hashed = materialize(classes.select("c", "label", "x").mapInArrow(_keys(k, tables, dtype), "c long, keys array<long>, half binary, x binary"), "vkeys")
+    # a key tells its table as well; only rows that share one carry a vector
     rows = hashed.select("c", F.posexplode("keys").alias("t", "key"))
-    sizes = rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    cells = block_cells(rows.join(sizes, ["t", "key"]), "size", "c").join(hashed, "c")
+    sizes = hashed.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    cells = block_cells(rows.join(sizes, "key"), "size", "c").join(hashed.select("c", "half", "x"), "c")
     parts = partitions(spark, (most[1] or 0) * tables, 100_000)
-    links = cells.repartition(parts, "t", "key", "bi", "bj").mapInPandas(_compare(threshold), "u long, v long")
+    links = cells.repartition(parts, "key", "bi", "bj").mapInPandas(_compare(threshold, dtype), "u long, v long")
     links = materialize(links, "vlinks")
     both = links.union(links.select("v", "u"))
     near = both.join(classes.select(F.col("c").alias("v"), "copies"), "v").groupBy(F.col("u").alias("c")).agg(F.sum("copies").alias("near"))

@@ -196,6 +196,18 @@ def test_vectors(spark):
     assert twice == [(1, 1, 1, True)] * 2
 
 
+@pytest.mark.parametrize(("kind", "labels"), [("double", [1.2, 1.7, 1.2, -0.0, 0.0]), ("string", ["x", "y", "x", "", ""]), ("date", None)])
+def test_labels_of_any_type(spark, kind, labels):
+    import datetime
+
+    labels = labels or [datetime.date(2020, 1, d) for d in (1, 2, 1, 3, 3)]
+    v = [1.0, 2.0, 3.0]
+    rows = [(k, v, y) for k, y in enumerate(labels)] + [(9, v, None)]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<double>, label {kind}")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embed_dedup.near_duplicate_vectors(df).collect())
+    assert got == [(0, 1, 0), (1, 0, 1), (2, 1, 0), (3, 1, 3), (4, 1, 3), (9, 0, 9)]
+
+
 def test_vector_plan():
     k, tables = embed_dedup.plan(100_000, 0.93)
     p = embed_dedup.collision((2 - 2 * 0.93) ** 0.5) ** k
