@@ -7,7 +7,7 @@ from .operators.search import Index, Searcher
 from .plans.query import Query
 from .plans.schema import FieldDef, IndexSchema
 from .sources.document import Document
-from .sources.store import IndexWriter, open_index
+from .sources.store import IndexWriter, break_lock, lock_owner, open_index
 
 log = logging.getLogger("quillspan")
 
@@ -19,4 +19,4 @@ def verbosity(level: int | None = None) -> int:
     return log.level
 
 
-__all__ = ["Document", "verbosity", "LANGUAGES", "FieldDef", "Index", "IndexSchema", "IndexWriter", "Language", "Query", "Searcher", "language", "open_index"]
+__all__ = ["Document", "verbosity", "LANGUAGES", "FieldDef", "Index", "IndexSchema", "IndexWriter", "Language", "Query", "Searcher", "break_lock", "language", "lock_owner", "open_index"]

@@ -6,6 +6,7 @@ import abc
 import re
 from collections.abc import Callable, Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -84,7 +85,12 @@ class Language(abc.ABC):
 
         @F.pandas_udf("array<string>")
         def run(col: pd.Series) -> pd.Series:
-            return col.map(lambda ts: None if ts is None else [word(t) for t in ts])
+            lists = [() if ts is None else ts for ts in col]
+            # each distinct token of a batch is stemmed once
+            number, words = pd.factorize(np.concatenate([np.empty(0, object), *(np.asarray(t, object) for t in lists)]))
+            stems = np.array([word(w) for w in words] or [""], object)[number] if len(number) else np.empty(0, object)
+            parts = np.split(stems, np.cumsum([len(t) for t in lists])[:-1]) if lists else []
+            return pd.Series([None if ts is None else list(p) for ts, p in zip(col, parts, strict=True)], index=col.index, dtype=object)
 
         return run(tokens)
 

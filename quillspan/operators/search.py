@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.analysis import Language, language
 from ..functions.excerpt import hit_positions, make_excerpt
 from ..plans.planner import Plan
-from ..plans.query import Child, Node, Parser, Query
+from ..plans.query import BoolGroup, Child, Parser, Query
 from ..plans.schema import IndexSchema
 
 #: Page size up to which the driver holds the page (two numbers a hit); larger pages are joined as tables.
@@ -108,16 +108,19 @@ class Searcher:
             parser = Parser(q, lang, stop, k, tokens_of)
             trees.append(Child(parser.parse(), q.required and not q.negated, q.negated))
             self.stopwords += parser.stopwords
-        root = trees[0].node if len(trees) == 1 and not trees[0].negated else Node("group", children=tuple(trees))
+        root = trees[0].node if len(trees) == 1 and not trees[0].negated else BoolGroup(children=tuple(trees))
         terms = sorted({t.text for t in root.terms() if t.text})
         self.plan = Plan(root, self.queries, schema, self.index.num_docs, self.index.doc_freq(terms), self.scoring)
 
     def all_hits(self) -> DataFrame:
         """(doc_num, score[, dt]) of every matching document, unsorted."""
         self._parse()
+        return self._hits(lenient=not self.strict)
+
+    def _hits(self, lenient: bool) -> DataFrame:
         keep = ["dt"] if self.index.schema.enable_datetime else []
         rows = self.plan.matched(self.index.postings, keep)
-        skipped = frozenset() if self.strict else self.plan.skips(rows)
+        skipped = self.plan.skips(rows) if lenient else frozenset()
         root = self.plan.root
         hits = rows.where(self.plan.match(root, skipped)).select("doc_num", *keep, self.plan.score(root, skipped).alias("score"))
         if self.exact_phrases:
@@ -151,17 +154,25 @@ class Searcher:
         way = F.desc if self.ascdesc == "descending" else F.asc
         return [way("dt" if self.sort_by == "datetime" else "score"), way("doc_num")]
 
+    def _page(self, hits: DataFrame) -> DataFrame:
+        return hits.orderBy(*self._order()).offset(self.offset).limit(self.num_results)
+
     def search(self) -> DataFrame:
         """The page: rank, doc_key, stored fields, score and, if asked for, excerpt, in rank order.
 
         Only the page is joined with the stored documents and cut to excerpts.
         """
-        hits = self.all_hits()
-        page = hits.orderBy(*self._order()).offset(self.offset).limit(self.num_results)
+        self._parse()
+        settled = not self.strict and self.num_results <= MAX_PAGE and self.plan.settled()
+        page = self._page(self._hits(lenient=not self.strict and not settled))
         docs = self.index.docs.drop("dt", "sortstring")
         if self.num_results <= MAX_PAGE:
+            got = page.select("doc_num", "score").collect()
+            if settled and not got and self.plan.lenient():
+                # nothing matches as it stands: only now can a required part lose its force
+                got = self._page(self._hits(lenient=True)).select("doc_num", "score").collect()
             # documents lie in runs of their numbers, so a list of numbers prunes files and row groups where a join can't
-            rows = [(r.doc_num, r.score, self.offset + k) for k, r in enumerate(page.select("doc_num", "score").collect(), 1)]
+            rows = [(r.doc_num, r.score, self.offset + k) for k, r in enumerate(got, 1)]
             docs = docs.where(F.col("doc_num").isin([r[0] for r in rows]))
             page = F.broadcast(docs.sparkSession.createDataFrame(rows, "doc_num long, score double, rank int"))
         else:

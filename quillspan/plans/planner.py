@@ -70,10 +70,13 @@ class Plan:
         return sum(parts[1:], parts[0])
 
     def matched(self, postings: DataFrame, keep: list[str]) -> DataFrame:
-        """(doc_num, keep..., s_i) of each document with a term of the search; s_i is null where slot i has no match."""
+        """(doc_num, keep..., s_i) of each document with a term of the search; s_i is null where slot i has no match.
+
+        A document has one posting of a term, so a search of one term is a scan; only several terms meet by document.
+        """
         terms = sorted({t for _, t in self.slots})
         rows = postings.where(F.col("term").isin(terms)) if terms else postings.where(F.lit(False))
-        aggs = []
+        found = []
         for (number, term), i in self.slots.items():
             if term not in self.doc_freq:
                 continue
@@ -85,9 +88,10 @@ class Plan:
             score = self._score(number, term)
             if q.fields is not None:
                 here = here & (score != 0)
-            aggs += [F.max(F.when(here, score)).alias(f"s_{i}")]
-        if not aggs:
-            aggs = [F.count(F.lit(1)).alias("n")]
+            found.append((f"s_{i}", F.when(here, score)))
+        if len(terms) < 2:
+            return rows.select("doc_num", *keep, *[c.alias(name) for name, c in found])
+        aggs = [F.max(c).alias(name) for name, c in found] or [F.count(F.lit(1)).alias("n")]
         return rows.groupBy("doc_num", *keep).agg(*aggs)
 
     def present(self, t: Node) -> bool:
@@ -137,20 +141,32 @@ class Plan:
         walk(self.root)
         return out
 
+    def settled(self) -> bool:
+        """Whether no child can be skipped unless the whole search matches nothing: then a hit settles the rule."""
+        return all(n is self.root for n, _ in self.lenient())
+
     def skips(self, rows: DataFrame) -> frozenset[int]:
-        """Children to skip under the lenient rule; one small aggregation for each depth that needs it."""
+        """Children to skip under the lenient rule. One aggregation gets the flags of all nodes; only where a node's
+        skip changes what a node around it matches is the outer one asked again."""
+        groups = [(n, compounds) for n, compounds in self.lenient() if any(not self.bound(c.node) for c in compounds)]
         skipped: frozenset[int] = frozenset()
-        for n, compounds in self.lenient():
-            negated = [c for c in n.children if c.negated]
-            free = [c for c in compounds if not self.bound(c.node)]
-            if not free:
-                continue
-            flags = [F.coalesce(F.max(self.match(c.node, skipped)), F.lit(False)).alias(f"f{k}") for k, c in enumerate([*compounds, *negated])]
+        at = 0
+        while at < len(groups):
+            asked = groups[at:]
+            flags, spans = [], []
+            for n, compounds in asked:
+                parts = [*compounds, *(c for c in n.children if c.negated)]
+                spans.append((len(flags), len(compounds), len(parts)))
+                flags += [F.coalesce(F.max(self.match(c.node, skipped)), F.lit(False)).alias(f"f{len(flags) + k}") for k, c in enumerate(parts)]
             got = rows.agg(*flags).first()
-            if any(got[len(compounds) :]):
-                continue
-            for c, hit in zip(compounds, got, strict=False):
-                if hit or self.bound(c.node):
+            before = skipped
+            for (_, compounds), (first, size, every) in zip(asked, spans, strict=True):
+                at += 1
+                if not any(got[first + size : first + every]):
+                    for c, hit in zip(compounds, got[first : first + size], strict=True):
+                        if hit or self.bound(c.node):
+                            break
+                        skipped |= {id(c)}
+                if skipped != before:
                     break
-                skipped |= {id(c)}
         return skipped

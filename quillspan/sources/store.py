@@ -1,12 +1,16 @@
 """An index on shared storage: immutable segment folders, versioned metadata, one pointer that moves.
 
 Layout under the root: docs/seg=N, postings/seg=N (sorted by term), tombs/t=N (numbers of replaced and deleted
-documents), meta/V.json and CURRENT. Readers follow CURRENT and keep a consistent snapshot; a writer holds LOCK.
+documents), meta/V.json and CURRENT. Readers follow CURRENT and keep a consistent snapshot; a writer holds LOCK. What
+neither the current version nor the one before names is deleted with each commit, so a reader outlives one commit.
 """
 
 from __future__ import annotations
 
 import json
+import os
+import socket
+import time
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
@@ -66,6 +70,34 @@ class Files:
         self.fs.delete(self.path(name), True)
 
 
+    def names(self, folder: str) -> list[str]:
+        return [f.getPath().getName() for f in self.fs.listStatus(self.path(folder))] if self.exists(folder) else []
+
+
+def lock_owner(spark: SparkSession, root: str) -> dict | None:
+    """Who holds the writer's lock: host, process, Spark application and seconds since it was taken; None if free."""
+    files = Files(spark, root)
+    if not files.exists("LOCK"):
+        return None
+    text = files.read("LOCK")
+    owner = json.loads(text) if text else {}
+    return {**owner, "age": time.time() - owner["since"]} if "since" in owner else owner
+
+
+def break_lock(spark: SparkSession, root: str, older_than: float = 0.0) -> bool:
+    """Remove the lock of a writer that ended without closing, if it is at least so many seconds old; true if removed.
+
+    A file system that many executors share has no lock that ends with its holder's process. Break one only once its
+    application (see lock_owner) is gone: nothing a writer does before it publishes is visible, so none of it is lost
+    but its uncommitted documents.
+    """
+    owner = lock_owner(spark, root)
+    if owner is None or owner.get("age", older_than) < older_than:
+        return False
+    Files(spark, root).delete("LOCK")
+    return True
+
+
 def read_meta(files: Files) -> dict | None:
     if not files.exists("CURRENT"):
         return None
@@ -79,7 +111,7 @@ def _load(spark: SparkSession, root: str, meta: dict, table: str, segments: Iter
 
 def _tombs(spark: SparkSession, root: str, meta: dict) -> DataFrame | None:
     paths = [f"{root}/tombs/t={t}" for t in meta["tombs"]]
-    return spark.read.option("basePath", f"{root}/tombs").parquet(*paths).select("doc_num").distinct() if paths else None
+    return spark.read.option("basePath", f"{root}/tombs").parquet(*paths).select("doc_num") if paths else None
 
 
 def open_index(spark: SparkSession, root: str, lang: Language | None = None, cache_postings: bool = False) -> Index:
@@ -110,14 +142,16 @@ class IndexWriter:
         segments_to_merge(optimization, [])
         self.spark, self.root, self.mode, self.level, self.lang = spark, root.rstrip("/"), mode, optimization, lang
         self.files = Files(spark, root)
+        owner = {"host": socket.gethostname(), "pid": os.getpid(), "application": spark.sparkContext.applicationId, "since": time.time()}
         try:
-            self.files.write("LOCK", "")
+            self.files.write("LOCK", json.dumps(owner))
         except Exception as e:
-            raise RuntimeError(f"another writer holds {self.root}/LOCK") from e
+            raise RuntimeError(f"another writer holds {self.root}/LOCK: {lock_owner(spark, root)}; break_lock() removes one left behind") from e
         self.open = True
         self.max_records = max_records_per_file
         old = read_meta(self.files)
         self.version = old["version"] if old else 0
+        self.before = old
         self.meta = old if old and mode == "update" else None
         unknown = set(settings) - {"language", "stoplist", "phrase_matching", "enable_datetime", "enable_sortstring", "stop_unstemmed"}
         if unknown:
@@ -160,15 +194,54 @@ class IndexWriter:
         return self
 
     def doc_is_indexed(self, doc_id) -> bool:
-        """Whether the published index holds the id."""
-        return bool(self.meta["segments"]) and open_index(self.spark, self.root).is_indexed(doc_id)
+        """Whether the index holds the id as this session leaves it: published or added, and not deleted since."""
+        return self._stored(doc_id) is not None
+
+    def _stored(self, doc_id) -> dict | None:
+        """Stored fields of the id's document as this session leaves it."""
+        key, digest = str(doc_id), F.md5(F.lit(str(doc_id)))
+        for d in reversed(self.single):
+            if d.doc_id == key:
+                return {f: d.get_field(f) or "" for f in self.schema.stored}
+        pending = [(a.where(F.col("doc_md5") == digest), True) for a in reversed(self.added)]
+        if self.meta["segments"] and not any(d.where(F.col("doc_md5") == digest).limit(1).count() for d in self.deleted):
+            pending.append((open_index(self.spark, self.root).docs.where(F.col("doc_md5") == digest), False))
+        for found, _ in pending:
+            row = found.orderBy(F.desc("doc_num")).select(*[F.col(f"f_{f}").alias(f) for f in self.schema.stored], "doc_num").first()
+            if row:
+                return {f: row[f] for f in self.schema.stored}
+        return None
+
+    def delete_doc(self, doc_id) -> dict | None:
+        """Delete one document and return its stored fields, None if there is none."""
+        stored = self._stored(doc_id)
+        if stored is not None:
+            self.delete_documents([doc_id])
+        return stored
 
     def delete_documents(self, ids: DataFrame | Iterable) -> IndexWriter:
-        """Delete by id: a DataFrame of one column, or some ids."""
-        df = ids if isinstance(ids, DataFrame) else self.spark.createDataFrame([(str(i),) for i in ids], "id string")
-        self.deleted.append(df.select(F.md5(F.col(df.columns[0]).cast("string")).alias("doc_md5")))
+        """Delete by id: a DataFrame of one column, or some ids. Documents of this session that were added before go
+        as well; those added afterwards stay."""
+        if not isinstance(ids, DataFrame):
+            some = {str(i) for i in ids}
+            self.single = [d for d in self.single if d.doc_id not in some]
+            ids = self.spark.createDataFrame([(i,) for i in sorted(some)], "id string")
+        else:
+            self._gather_single()
+        gone = ids.select(F.md5(F.col(ids.columns[0]).cast("string")).alias("doc_md5"))
+        self.added = [a.join(gone, "doc_md5", "left_anti").select(a.columns) for a in self.added]
+        self.deleted.append(gone)
         return self
 
+    def _gather_single(self) -> None:
+        """The documents added one by one as one more table."""
+        if self.single:
+            names = list(self.schema.fields)
+            rows = [(d.doc_id, d.datetime or (0,) * 6, d.sortstring, *[d.get_field(n) for n in names]) for d in self.single]
+            shape = f"__id string, __dt {DATE_TYPE}, __sort string, " + ", ".join(f"{n} string" for n in names)
+            self.single = []
+            self.add_documents(self.spark.createDataFrame(rows, shape).coalesce(1), "__id", None, "__dt", "__sort")
+
     def commit(self, batch: tuple[str, int] | None = None) -> dict:
         """Write the new segment, merge those that the level names, publish and release the lock.
 
@@ -177,11 +250,7 @@ class IndexWriter:
         if not self.open:
             raise RuntimeError("this writer is closed")
         meta = dict(self.meta)
-        if self.single:
-            names = list(self.schema.fields)
-            rows = [(d.doc_id, d.datetime or (0,) * 6, d.sortstring, *[d.get_field(n) for n in names]) for d in self.single]
-            shape = f"__id string, __dt {DATE_TYPE}, __sort string, " + ", ".join(f"{n} string" for n in names)
-            self.add_documents(self.spark.createDataFrame(rows, shape).coalesce(1), "__id", None, "__dt", "__sort")
+        self._gather_single()
         if batch and meta["batches"].get(batch[0], -1) >= batch[1]:
             self.close()
             return meta
@@ -191,49 +260,55 @@ class IndexWriter:
         spark, root = self.spark, self.root
         fresh = None
         gone = [d for d in self.deleted]
-        old = _load(spark, root, meta, "docs", [s["id"] for s in segments])
+        paths = [f"{root}/docs/seg={s['id']}" for s in segments]
+        old = spark.read.option("basePath", f"{root}/docs").parquet(*paths).select("doc_num", "doc_md5", "seg") if paths else None
         dead = _tombs(spark, root, meta)
         if dead is not None and old is not None:
             old = old.join(dead, "doc_num", "left_anti")
-        buried = []
+        buried: list[DataFrame] = []
+        lost: dict[int, int] = {}
         if self.added:
             self._write(reduce(DataFrame.unionByName, self.added), f"docs/seg={seg}")
             fresh = spark.read.parquet(f"{root}/docs/seg={seg}")
             # of rows with one id all but the last are buried at once: no shuffle of texts
             last = fresh.groupBy("doc_md5").agg(F.max("doc_num").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-            buried.append(fresh.select("doc_num", "doc_md5").join(last, "doc_md5").where("doc_num < last").select("doc_num"))
+            buried.append(fresh.select("doc_num", "doc_md5").join(last, "doc_md5").where("doc_num < last").select("doc_num", F.lit(seg).alias("seg")))
             gone.append(fresh.select("doc_md5"))
         if gone and old is not None:
-            buried.append(old.select("doc_num", "doc_md5").join(reduce(DataFrame.union, gone).distinct(), "doc_md5", "left_semi").select("doc_num"))
+            buried.append(old.join(reduce(DataFrame.union, gone).distinct(), "doc_md5", "left_semi").select("doc_num", F.col("seg").cast("int").alias("seg")))
         tombs = list(meta["tombs"]) if len(merged) < len(segments) else []
         if buried:
             reduce(DataFrame.union, buried).write.mode("overwrite").parquet(f"{root}/tombs/t={seg}")
-            tombs.append(seg)
-            dead = _tombs(spark, root, {"tombs": [*meta["tombs"], seg]})
+            lost = {r.seg: r["count"] for r in spark.read.parquet(f"{root}/tombs/t={seg}").groupBy("seg").count().collect()}
+            if lost:
+                tombs.append(seg)
+                dead = _tombs(spark, root, {"tombs": [*meta["tombs"], seg]})
+            else:  # readers then need no join
+                self.files.delete(f"tombs/t={seg}")
         if fresh is not None:
-            live = fresh.join(dead, "doc_num", "left_anti")
+            live = fresh.join(dead, "doc_num", "left_anti") if dead is not None else fresh
             postings = make_postings(live, self.schema, self.lang)
             if merged:
-                part = {t: _load(spark, root, meta, t, merged).join(dead, "doc_num", "left_anti") for t in ("docs", "postings")}
+                part = {t: _load(spark, root, meta, t, merged) for t in ("docs", "postings")}
+                if dead is not None:
+                    part = {t: df.join(dead, "doc_num", "left_anti") for t, df in part.items()}
                 self._write(part["docs"].select(fresh.columns), f"docs/seg={seg}", "append")
                 postings = postings.unionByName(part["postings"])
             postings = postings.repartitionByRange(F.col("term"), F.col("doc_num")).sortWithinPartitions("term", "sortstring", "dt", "doc_num")
             self._write(postings, f"postings/seg={seg}")
             kept = [*kept, {"id": seg, "live": 0}]
-        counts: dict[int, int] = {}
         ids = [s["id"] for s in kept]
-        if ids:
-            every = spark.read.option("basePath", f"{root}/docs").parquet(*[f"{root}/docs/seg={i}" for i in ids]).select("seg", "doc_num")
-            if dead is not None:
-                every = every.join(dead, "doc_num", "left_anti")
-            counts = {r[0]: r[1] for r in every.groupBy("seg").count().collect()}
+        # segments that stay lose what was buried just now; only what was written just now is counted
+        counts = {s["id"]: s["live"] - lost.get(s["id"], 0) for s in kept}
         top = 0
         if fresh is not None:
-            top = (spark.read.parquet(f"{root}/docs/seg={seg}").agg(F.max("doc_num")).first()[0] or 0) + 1
+            n, most = spark.read.parquet(f"{root}/docs/seg={seg}").select("doc_num").agg(F.count(F.lit(1)), F.max("doc_num")).first()
+            counts[seg] = n - lost.get(seg, 0)
+            top = (most or 0) + 1
         meta = {
             "version": self.version + 1,
             "schema": self.schema.to_dict(),
-            "segments": [{"id": i, "live": counts.get(i, 0)} for i in ids],
+            "segments": [{"id": i, "live": counts[i]} for i in ids],
             "tombs": tombs,
             "next_seg": seg + 1,
             "next_doc": max(meta["next_doc"], top),
@@ -242,9 +317,7 @@ class IndexWriter:
         }
         self.files.write(f"meta/{meta['version']}.json", json.dumps(meta), True)
         self.files.replace("CURRENT", str(meta["version"]))
-        for s in merged:  # readers of the version before may still scan these: they go with the next commit
-            self.files.write(f"stale/{meta['version']}-{s}", "", True)
-        self._purge(meta["version"], set(ids))
+        self._purge(meta)
         self.close()
         return meta
 
@@ -256,17 +329,15 @@ class IndexWriter:
             writer = writer.option("maxRecordsPerFile", self.max_records)
         writer.parquet(f"{self.root}/{name}")
 
-    def _purge(self, version: int, live: set[int]) -> None:
-        """Delete segments that an earlier commit merged away."""
-        if not self.files.exists("stale"):
-            return
-        for f in self.files.fs.listStatus(self.files.path("stale")):
-            name = f.getPath().getName()
-            at, _, s = name.partition("-")
-            if at.isdigit() and int(at) < version and int(s) not in live:
-                for table in ("docs", "postings"):
-                    self.files.delete(f"{table}/seg={s}")
-                self.files.delete(f"stale/{name}")
+    def _purge(self, meta: dict) -> None:
+        """Delete what neither this version nor the one before names: merged and overwritten segments, old tombstones."""
+        named = [meta, *([self.before] if self.before else [])]
+        segments = {f"seg={s['id']}" for m in named for s in m["segments"]}
+        keep = {"docs": segments, "postings": segments, "tombs": {f"t={t}" for m in named for t in m["tombs"]}, "meta": {f"{m['version']}.json" for m in named}}
+        for folder, names in keep.items():
+            for name in self.files.names(folder):
+                if name not in names and not name.startswith((".", "_")):
+                    self.files.delete(f"{folder}/{name}")
 
     def close(self) -> None:
         """Give up what isn't committed and release the lock."""

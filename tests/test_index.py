@@ -1,6 +1,6 @@
 import pytest
 
-from quillspan import IndexWriter, Query, Searcher, open_index
+from quillspan import IndexWriter, Query, Searcher, break_lock, lock_owner, open_index
 from quillspan.operators.compaction import segments_to_merge
 from quillspan.sources.html import parse_html
 from quillspan.sources.store import Files, read_meta
@@ -76,13 +76,89 @@ def test_segments_deletes_and_locks(spark, root):
     assert commit(spark, root, 1, ["c"]) == 1
     i = open_index(spark, root)
     assert i.num_docs == 21 and count(i, "d3") == 1 and count(i, "d5") == 0 and count(i, "c") == 1
-    assert len(read_meta(Files(spark, root))["tombs"]) == 1  # the newest
+    assert read_meta(Files(spark, root))["tombs"] == []  # all merged, nothing replaced
     commit(spark, root, 2, ["new"], "overwrite")
     assert open_index(spark, root).num_docs == 1
     with pytest.raises(ValueError):
         IndexWriter(spark, root, "append")
 
 
+def test_one_session_deletes_what_it_added(spark, root):
+    commit(spark, root, 4, ["old", "kept"], "overwrite")
+    w = IndexWriter(spark, root)
+    w.add_documents(spark.createDataFrame([("a",), ("b",), ("old",)], "content string"), "content")
+    w.add_doc(w.new_doc("one").set_field("content", "one"))
+    assert all(w.doc_is_indexed(k) for k in ("a", "one", "kept", "old")) and not w.doc_is_indexed("never")
+    assert w.delete_doc("one") == {"content": "one"} and w.delete_doc("kept") == {"content": "kept"} and w.delete_doc("never") is None
+    w.delete_documents(spark.createDataFrame([("a",), ("old",)], "k string"))
+    assert not any(w.doc_is_indexed(k) for k in ("a", "one", "kept", "old")) and w.doc_is_indexed("b")
+    w.add_documents(spark.createDataFrame([("a",)], "content string"), "content")
+    assert w.doc_is_indexed("a")
+    meta = w.commit()
+    i = open_index(spark, root)
+    assert sorted(r.doc_key for r in i.docs.collect()) == ["a", "b"] and i.num_docs == 2 == sum(s["live"] for s in meta["segments"])
+    assert count(i, "a") == 1 and count(i, "old") == 0
+
+
+def test_live_counts_follow_the_tombstones(spark, root):
+    commit(spark, root, 4, [f"d{k}" for k in range(10)], "overwrite")
+    for level, rows in ((4, ["d1", "x", "x"]), (4, ["d2", "x"]), (2, ["d1", "y"]), (1, ["d9"])):
+        commit(spark, root, level, rows)
+        i, meta = open_index(spark, root), read_meta(Files(spark, root))
+        assert i.docs.count() == meta["num_docs"] == sum(s["live"] for s in meta["segments"]) == i.docs.select("doc_md5").distinct().count()
+
+
+def test_purge_and_lock(spark, root):
+    files = Files(spark, root)
+    for k in range(4):
+        commit(spark, root, 2, [f"x{k}", f"x{k}"], "overwrite")
+    assert sorted(files.names("docs")) == sorted(files.names("postings")) == ["seg=2", "seg=3"] and sorted(files.names("tombs")) == ["t=2", "t=3"]
+    assert len([m for m in files.names("meta") if m.endswith(".json")]) == 2
+    assert count(open_index(spark, root), "x3") == 1 and count(open_index(spark, root), "x2") == 0
+    assert lock_owner(spark, root) is None and not break_lock(spark, root)
+    w = IndexWriter(spark, root)
+    owner = lock_owner(spark, root)
+    assert owner["application"] == spark.sparkContext.applicationId and owner["age"] >= 0
+    with pytest.raises(RuntimeError, match="application"):
+        IndexWriter(spark, root)
+    assert not break_lock(spark, root, older_than=3600) and break_lock(spark, root)
+    IndexWriter(spark, root).close()
+    w.close()
+
+
+def test_level_three_merges_past_ten_segments(spark, root):
+    sizes = [commit(spark, root, 3, [f"w{k}"], "overwrite" if not k else "update") for k in range(12)]
+    assert sizes == [*range(1, 11), 1, 2]
+    i = open_index(spark, root)
+    assert i.num_docs == 12 and all(count(i, f"w{k}") == 1 for k in (0, 5, 11))
+
+
+def test_one_term_needs_no_shuffle(spark, root):
+    commit(spark, root, 1, ["a", "b"], "overwrite")
+    i = open_index(spark, root)
+    plan = Searcher(i).add_query(Query("a")).all_hits()._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "hashpartitioning" not in plan
+
+
+def test_small_files_cache_and_fetch(spark, root, tmp_path):
+    w = IndexWriter(spark, root, "overwrite", max_records_per_file=3).define_field("content", tokenize=True)
+    w.add_documents(spark.createDataFrame([(f"w{k} x",) for k in range(10)], "content string"), "content").commit()
+    from pyspark.sql import functions as F
+
+    i = open_index(spark, root, cache_postings=True)
+    raw = spark.read.parquet(f"{root}/postings/seg=0").select(F.input_file_name().alias("f")).groupBy("f").count()
+    assert raw.agg(F.max("count")).first()[0] <= 3 and i.postings.is_cached
+    s = Searcher(i).add_query(Query("x", tokenize=True))
+    assert [h["rank"] for h in s.fetch()] == list(range(1, 11)) and {h["content"] for h in s.fetch()} == {f"w{k} x" for k in range(10)}
+    i.postings.unpersist()
+    (tmp_path / "pages").mkdir()
+    for name in ("a", "index"):
+        (tmp_path / "pages" / f"{name}.html").write_text(f'<title>T{name}</title><div id="bodytext">one <i>two</i></div>')
+    from quillspan.sources.html import read_html_files
+
+    assert [tuple(r) for r in read_html_files(spark, f"file://{tmp_path}/pages").select("url", "title", "bodytext").collect()] == [("a.html", "Ta", "one two")]
+
+
 def test_merge_policy():
     assert segments_to_merge(1, [5, 1]) == [0, 1] and segments_to_merge(4, [5] * 30) == []
     assert segments_to_merge(2, []) == [] and segments_to_merge(2, [100]) == []
