@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -10,11 +11,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.analysis import English, Plain, bare, normalize, word_pairs
+from .functions.analysis import English, Plain, language, normalize, word_pairs
 from .functions.excerpt import best_location, hit_positions
 from .operators.postings import field_terms, latest, make_docs, make_postings
 from .operators.search import Index, Searcher
-from .plans.query import Query
+from .plans.query import Parser, Query
 from .plans.schema import IndexSchema
 from .sources.html import parse_html
 from .sources.scratch import materialize, scratch_dir
@@ -177,6 +178,37 @@ for _c in CASES:
     SQL[_c.name] = _c.sql()
 
 
+@query(SQL["search_any"])
+def fetch_hits(spark, sf_dir):
+    """The page fetched hit by hit; max_terms is accepted and changes nothing."""
+    s = Searcher(document_index(spark, sf_dir), max_terms=1).add_query(_q("the and der"))
+    rows = [(h["rank"], h["doc_key"], h["lang"], h["source"], round(h["score"], 6)) for h in s.fetch()]
+    return spark.createDataFrame(rows, "rank int, doc_key string, lang string, source string, score double")
+
+
+TREES = (
+    ("a b", "any", "(a b)"), ("a b", "all", "(+a +b)"), ('"a b c"', "any", "(+'a b' +'b c')"), ("a AND NOT b", "any", "(+a -b)"), ("a OR b c", "all", "(+(a b) +c)"),
+    ("+a -b c", "any", "(+a -b c)"), ("(a AND b) OR c", "any", "((+a +b) c)"), ("-x", "any", "x"), ("A Don't", "any", "(a don t)"), ("", "any", "()"),
+)
+
+
+def _lit(t: str) -> str:
+    return "'" + t.replace("'", "''") + "'"
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({k}, {_lit(q)}, {_lit(mode)}, {_lit(t)})" for k, (q, mode, t) in enumerate(TREES)) + ") v(number, string, any_or_all, tree)")
+def query_trees(spark, sf_dir):
+    """Query strings, parsed on their own, as trees: + required, - negated, phrases as their word pairs."""
+
+    def show(n) -> str:
+        if n.kind == "term":
+            return f"'{n.text}'" if " " in n.text else n.text
+        return "(" + " ".join(("+" if c.required else "-" if c.negated else "") + show(c.node) for c in n.children) + ")"
+
+    rows = [(k, q, mode, show(Parser(_q(q, any_or_all=mode), Plain(), frozenset()).parse())) for k, (q, mode, _) in enumerate(TREES)]
+    return spark.createDataFrame(rows, "number int, string string, any_or_all string, tree string")
+
+
 # ------------------------------------------------------------------ text analysis
 
 
@@ -211,13 +243,28 @@ _STOP = ", ".join(f"'{w}'" for w in sorted(English.stoplist))
 _EN = r"regexp_extract_all(lower({c}), '[A-Za-z0-9_]+(?:''[A-Za-z0-9_]+)?')"
 
 
+_KEPT = f"SELECT doc_id, unnest({_EN.format(c=NORM.format(c='text'))}) AS t FROM documents"
+
+
+@query(f"SELECT doc_id, t AS term, count(*) AS n FROM ({_KEPT}) WHERE regexp_replace(t, '''s$', '') NOT IN ({_STOP}) GROUP BY doc_id, t")
+def stop_filter(spark, sf_dir):
+    """Single terms that an English field keeps: stop words out, by their form without 's."""
+    schema = IndexSchema(language="En", phrase_matching=False, stop_unstemmed=True).define_field("body", tokenize=True, lowercase=True)
+    rows = make_docs(_read(spark, sf_dir, "documents"), schema, "doc_id", {"body": "text"}, doc_num="doc_id")
+    terms = field_terms(rows, schema).select(F.col("doc_num").alias("doc_id"), F.explode("terms_body").alias("term"))
+    return terms.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
-    f"""SELECT doc_id, count(*) AS kept FROM (SELECT doc_id, unnest({_EN.format(c=NORM.format(c="text"))}) AS t FROM documents)
-WHERE regexp_replace(t, '''s$', '') NOT IN ({_STOP}) GROUP BY doc_id"""
+    f"SELECT doc_id, '' AS language, {TOKENS.format(c=NORM.format(c='text'))} AS tokens FROM documents UNION ALL SELECT doc_id, 'Hr', {TOKENS.format(c=NORM.format(c='text'))} FROM documents "
+    f"UNION ALL SELECT doc_id, 'En', {_EN.replace('lower({c})', '{c}').format(c=NORM.format(c='text'))} FROM documents"
 )
-def stop_filter(spark, sf_dir):
-    d = _read(spark, sf_dir, "documents").select("doc_id", F.explode(English().tokenize(F.lower(normalize(F.col("text"))))).alias("t"))
-    return d.where(~bare(F.col("t")).isin(sorted(English.stoplist))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("kept"))
+def language_tokens(spark, sf_dir):
+    """Tokens by language name; Croatian stems are the tokens themselves."""
+    d, text = _read(spark, sf_dir, "documents"), normalize(F.col("text"))
+    out = [d.select("doc_id", F.lit(name).alias("language"), language(name).tokenize(text).alias("tokens")) for name in ("", "En")]
+    hr = language("Hr")
+    return out[0].union(out[1]).union(d.select("doc_id", F.lit("Hr").alias("language"), hr.stem_tokens(hr.tokenize(text)).alias("tokens")))
 
 
 @query(f"WITH {BASE} SELECT term AS pair, count(*) AS n FROM terms WHERE f = 'body' AND contains(term, ' ') GROUP BY term")
@@ -303,6 +350,10 @@ def _writer(spark: SparkSession, root: str, level: int = 2, mode: str = "update"
     return w
 
 
+def _new_root(spark: SparkSession, name: str) -> str:
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 _stores: dict[tuple[str, str], str] = {}
 
 
@@ -311,9 +362,7 @@ def document_store(spark: SparkSession, sf_dir: str) -> str:
     ids divisible by 15 deleted."""
     key = spark.sparkContext.applicationId, sf_dir
     if key not in _stores:
-        import uuid
-
-        root = f"{scratch_dir(spark)}/index-{uuid.uuid4().hex}"
+        root = _new_root(spark, "index")
         docs = _read(spark, sf_dir, "documents")
         columns = {"body": "text"}
         _writer(spark, root).add_documents(docs, "doc_id", columns).commit()
@@ -327,27 +376,57 @@ def document_store(spark: SparkSession, sf_dir: str) -> str:
 _LIVE = "SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'replaced the ' || coalesce(source, '') ELSE text END AS text, source FROM documents WHERE doc_id % 15 <> 0"
 
 
-@query(f"SELECT doc_id::VARCHAR AS doc_key, {NORM.format(c='text')} AS body FROM ({_LIVE}) WHERE doc_id % 10 = 0")
+@query(f"SELECT doc_id::VARCHAR AS doc_key, {NORM.format(c='text')} AS body FROM ({_LIVE})")
 def upsert_documents(spark, sf_dir):
-    d = open_index(spark, document_store(spark, sf_dir)).docs
-    return d.where(F.col("doc_key").cast("long") % 10 == 0).select("doc_key", F.col("f_body").alias("body"))
+    return open_index(spark, document_store(spark, sf_dir)).docs.select("doc_key", F.col("f_body").alias("body"))
 
 
-@query(f"SELECT count(*) AS num_docs FROM ({_LIVE})")
+@query("SELECT doc_id::VARCHAR AS doc_key, doc_id % 15 <> 0 AS live FROM documents")
 def delete_documents(spark, sf_dir):
-    return open_index(spark, document_store(spark, sf_dir)).docs.agg(F.count(F.lit(1)).alias("num_docs"))
+    live = open_index(spark, document_store(spark, sf_dir)).docs.select("doc_key", F.lit(True).alias("there"))
+    every = _read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_key"))
+    return every.join(live, "doc_key", "left").select("doc_key", F.coalesce("there", F.lit(False)).alias("live"))
 
 
-@query("SELECT unnest(['0', '1', '10', 'none']) AS doc_key, unnest([false, true, true, false]) AS indexed")
+@query("SELECT k AS doc_key, EXISTS (SELECT 1 FROM documents WHERE doc_id::VARCHAR = k AND doc_id % 15 <> 0) AS indexed FROM (SELECT unnest(['0', '1', '10', 'none']) AS k)")
 def doc_is_indexed(spark, sf_dir):
     i = open_index(spark, document_store(spark, sf_dir))
     return spark.createDataFrame([(k, i.is_indexed(k)) for k in ("0", "1", "10", "none")], "doc_key string, indexed boolean")
 
 
-@query(f"SELECT count(*) AS num_hits FROM ({_LIVE}) WHERE list_contains({TOKENS.format(c='lower(text)')}, 'replaced')")
+def _stored_base(rows: str) -> str:
+    """The tables of BASE for the stored indexes: body and source, both of weight 1, over these rows."""
+    return f"""toks AS (
+  SELECT doc_id, {TOKENS.format(c="lower(" + NORM.format(c="text") + ")")} AS tk, {NORM.format(c="source")} AS source FROM ({rows})
+), terms AS (
+  SELECT doc_id, 'body' AS f, unnest(tk || [tk[i] || ' ' || tk[i + 1] for i in range(1, len(tk))]) AS term, len(tk) AS n FROM toks
+  UNION ALL SELECT doc_id, 'source', source, 1 FROM toks WHERE source <> ''
+), counted AS (
+  SELECT doc_id, term, f, count(*) / sqrt(max(n)) AS s FROM terms GROUP BY doc_id, term, f
+), postings AS (
+  SELECT doc_id, term, sum(s) / 2 AS agg FROM counted GROUP BY doc_id, term
+), num AS (SELECT count(*) AS n FROM ({rows})), freq AS (SELECT term, count(*) AS df FROM postings GROUP BY term)"""
+
+
+def _stored_hits(rows: str, term: str) -> str:
+    return f"WITH {_stored_base(rows)} SELECT doc_id::VARCHAR AS doc_key, round(agg * ln((num.n + 1) / df), 6) AS score FROM postings JOIN freq USING (term), num WHERE term = '{term}'"
+
+
+def _keyed(index: Index, hits: DataFrame) -> DataFrame:
+    return hits.join(index.docs.select("doc_num", "doc_key"), "doc_num").select("doc_key", F.round("score", 6).alias("score"))
+
+
+@query(_stored_hits(_LIVE, "replaced"))
 def tombstone_search(spark, sf_dir):
-    hits = Searcher(open_index(spark, document_store(spark, sf_dir))).add_query(_q("replaced")).all_hits()
-    return hits.agg(F.count(F.lit(1)).alias("num_hits"))
+    i = open_index(spark, document_store(spark, sf_dir))
+    return _keyed(i, Searcher(i).add_query(_q("replaced")).all_hits())
+
+
+@query(_stored_hits(_LIVE, "the"))
+def search_cached_postings(spark, sf_dir):
+    """The same index with its postings kept in memory between searches."""
+    i = open_index(spark, document_store(spark, sf_dir), cache_postings=True)
+    return _keyed(i, Searcher(i).add_query(_q("the")).all_hits())
 
 
 _level_roots: dict[tuple[str, str], list[tuple[int, str]]] = {}
@@ -355,14 +434,12 @@ _level_roots: dict[tuple[str, str], list[tuple[int, str]]] = {}
 
 def _levels(spark: SparkSession, sf_dir: str) -> list[tuple[int, str]]:
     """Indexes of the same documents, added in three commits at each level."""
-    import uuid
-
     key = spark.sparkContext.applicationId, sf_dir
     if key not in _level_roots:
         docs = _read(spark, sf_dir, "documents")
         roots = []
         for level in (1, 2, 3, 4):
-            root = f"{scratch_dir(spark)}/level-{uuid.uuid4().hex}"
+            root = _new_root(spark, "level")
             for k in range(3):
                 _writer(spark, root, level).add_documents(docs.where(F.pmod("doc_id", F.lit(3)) == k), "doc_id", {"body": "text"}).commit()
             roots.append((level, root))
@@ -370,15 +447,86 @@ def _levels(spark: SparkSession, sf_dir: str) -> list[tuple[int, str]]:
     return _level_roots[key]
 
 
-@query(f"WITH {BASE} SELECT unnest([1, 2, 3, 4])::INTEGER AS level, count(DISTINCT doc_id) AS num_hits FROM postings WHERE term = 'the'")
+@query(f"SELECT level::INTEGER AS level, doc_key, score FROM ({_stored_hits('SELECT * FROM documents', 'the')}), (SELECT unnest([1, 2, 3, 4]) AS level)")
 def merge_invariance(spark, sf_dir):
     out = None
     for level, root in _levels(spark, sf_dir):
-        hits = Searcher(open_index(spark, root)).add_query(_q("the")).all_hits().agg(F.lit(level).alias("level"), F.count(F.lit(1)).alias("num_hits"))
+        i = open_index(spark, root)
+        hits = _keyed(i, Searcher(i).add_query(_q("the")).all_hits()).select(F.lit(level).alias("level"), "doc_key", "score")
         out = hits if out is None else out.union(hits)
     return out
 
 
+@query(
+    "SELECT commits::INTEGER AS commits, CASE WHEN commits <= 10 THEN commits ELSE commits - 10 END::INTEGER AS segments, count(*)::BIGINT AS live "
+    "FROM documents, (SELECT unnest(range(1, 13)) AS commits) WHERE abs(doc_id) % 12 < commits GROUP BY commits"
+)
+def compaction_level_three(spark, sf_dir):
+    """Twelve commits of a twelfth of the documents each: level 3 appends ten segments, then merges the tail that no
+    longer falls off steeply, here all of them."""
+    docs, rows = _read(spark, sf_dir, "documents"), []
+    root = _new_root(spark, "three")
+    for k in range(12):
+        meta = _writer(spark, root, 3).add_documents(docs.where(F.abs("doc_id") % 12 == k), "doc_id", {"body": "text"}).commit()
+        rows.append((k + 1, len(meta["segments"]), meta["num_docs"]))
+    return spark.createDataFrame(rows, "commits int, segments int, live long")
+
+
+@query(f"SELECT doc_id::VARCHAR AS doc_key, {NORM.format(c='text')} AS body FROM (SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'again ' || coalesce(source, '') ELSE text END AS text FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 6 = 0)")
+def delete_in_session(spark, sf_dir):
+    """One session adds all documents, deletes every third id and adds half of these again."""
+    docs = _read(spark, sf_dir, "documents")
+    root = _new_root(spark, "session")
+    w = _writer(spark, root).add_documents(docs, "doc_id", {"body": "text"})
+    w.delete_documents(docs.where("doc_id % 3 = 0").select("doc_id"))
+    w.add_documents(docs.where("doc_id % 6 = 0").withColumn("text", F.concat(F.lit("again "), F.coalesce("source", F.lit("")))), "doc_id", {"body": "text"}).commit()
+    return open_index(spark, root).docs.select("doc_key", F.col("f_body").alias("body"))
+
+
+@query("SELECT k AS doc_key, k <> '2' AND EXISTS (SELECT 1 FROM documents WHERE doc_id::VARCHAR = k) AS indexed FROM (SELECT unnest(['1', '2', '3', 'none']) AS k)")
+def membership_in_session(spark, sf_dir):
+    """Before the commit: documents of the session are known, deleted ones are not."""
+    with _writer(spark, _new_root(spark, "session")) as w:
+        w.add_documents(_read(spark, sf_dir, "documents"), "doc_id", {"body": "text"}).delete_documents(["2"])
+        return spark.createDataFrame([(k, w.doc_is_indexed(k)) for k in ("1", "2", "3", "none")], "doc_key string, indexed boolean")
+
+
+@query("SELECT 'seg=' || n AS folder, (SELECT count(*) FROM documents) AS num_docs FROM (SELECT unnest([1, 2]) AS n)")
+def purge_overwritten(spark, sf_dir):
+    """Three overwrites leave the current version's segment and that of the one before, whose readers may still scan."""
+    from .sources.store import Files
+
+    root = _new_root(spark, "purge")
+    for _ in range(3):
+        meta = _writer(spark, root, mode="overwrite").add_documents(_read(spark, sf_dir, "documents"), "doc_id", {"body": "text"}).commit()
+    return spark.createDataFrame([(name, meta["num_docs"]) for name in Files(spark, root).names("docs")], "folder string, num_docs long")
+
+
+@query("SELECT n_nationkey::VARCHAR AS doc_key, trim(n_name) AS name, 'region ' || n_regionkey AS body, [2000 + n_regionkey, 2, 3, 4, 5, 6]::INTEGER[] AS dt, substr(lower(n_name), 1, 3) AS sortstring FROM nation")
+def documents_by_hand(spark, sf_dir):
+    """Documents built one by one, with fields, a date and a sort key; read back from the stored index."""
+    root = _new_root(spark, "hand")
+    w = IndexWriter(spark, root, "overwrite", enable_datetime=True, enable_sortstring=3)
+    w.define_field("name").define_field("body", tokenize=True)
+    for r in _read(spark, sf_dir, "nation").toLocalIterator():  # 25 rows at every size
+        d = w.new_doc(r.n_nationkey).set_field("name", f" {r.n_name} ").set_field("body", f"region \n {r.n_regionkey}")
+        d.set_datetime(2000 + r.n_regionkey, 2, 3, 4, 5, 6).set_sortstring(d.get_field("name").lower())
+        w.add_doc(d)
+    w.commit()
+    parts = F.array(*[F.col(f"dt.{k}") for k in ("y", "mo", "d", "h", "mi", "s")])
+    return open_index(spark, root).docs.select("doc_key", F.col("f_name").alias("name"), F.col("f_body").alias("body"), parts.alias("dt"), "sortstring")
+
+
+@query(f"WITH {_stored_base('SELECT * FROM documents')} SELECT count(*) AS num_postings, true AS small FROM postings")
+def posting_file_sizes(spark, sf_dir):
+    """Postings written with a bound of 5000 rows a file: none is larger."""
+    root = _new_root(spark, "files")
+    w = IndexWriter(spark, root, "overwrite", max_records_per_file=5000).define_field("body", tokenize=True, lowercase=True).define_field("source")
+    w.add_documents(_read(spark, sf_dir, "documents"), "doc_id", {"body": "text"}).commit()
+    files = spark.read.parquet(f"{root}/postings/seg=0").select(F.input_file_name().alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n"))
+    return files.agg(F.sum("n").alias("num_postings"), (F.max("n") <= 5000).alias("small"))
+
+
 @query("SELECT unnest([1, 2, 3, 4])::INTEGER AS level, unnest([1, 1, 3, 3])::INTEGER AS segments")
 def compaction_levels(spark, sf_dir):
     from .sources.store import Files, read_meta
@@ -398,12 +546,12 @@ def html_ingest_titles(spark, sf_dir):
 _BODY = r"regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<body[^>]*>(.*)</body>', 1), '(?s)<.*?>', '', 'g')"
 
 
-@query(f"SELECT count(*) AS num_hits FROM (SELECT {TOKENS.format(c='lower(' + NORM.format(c=_BODY) + ')')} AS t FROM pages) WHERE list_contains(t, 'the') AND list_contains(t, 'and')")
+@query(f"SELECT page_id FROM (SELECT page_id, {TOKENS.format(c='lower(' + NORM.format(c=_BODY) + ')')} AS t FROM pages) WHERE list_contains(t, 'the') AND list_contains(t, 'and')")
 def html_search(spark, sf_dir):
     schema = IndexSchema().define_field("title", tokenize=True, lowercase=True, score=False).define_field("bodytext", tokenize=True, lowercase=True)
     docs = materialize(make_docs(parse_html(_read(spark, sf_dir, "pages")), schema, "page_id", doc_num="page_id"), "pages")
     hits = Searcher(Index(schema, docs, make_postings(docs, schema))).add_query(_q("the and", any_or_all="all")).all_hits()
-    return hits.agg(F.count(F.lit(1)).alias("num_hits"))
+    return hits.select(F.col("doc_num").alias("page_id"))
 
 
 # ------------------------------------------------------------------ excerpts, stems, own analyzers
@@ -475,22 +623,23 @@ def custom_stemmer(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select(F.explode(tokens).alias("stem")).groupBy("stem").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("WITH d AS (SELECT doc_id, max(text) AS text FROM documents GROUP BY doc_id) SELECT count(*) AS num_docs FROM d")
+@query(f"SELECT (doc_id % 7)::VARCHAR AS doc_key, max(doc_id) AS doc_num, arg_max({NORM.format(c='text')}, doc_id) AS body FROM documents GROUP BY 1")
 def latest_documents(spark, sf_dir):
+    """All documents under seven ids: of each the last one added stays."""
     schema = document_schema()
-    return latest(document_rows(spark, sf_dir, schema)).agg(F.count(F.lit(1)).alias("num_docs"))
+    docs = _read(spark, sf_dir, "documents").withColumn("key", F.col("doc_id") % 7)
+    rows = make_docs(docs, schema, "key", {"body": "text"}, doc_num="doc_id")
+    return latest(rows).select("doc_key", "doc_num", F.col("f_body").alias("body"))
 
 
 @query("SELECT count(*) AS num_docs, sum(CASE WHEN event_type = (SELECT min(event_type) FROM events) THEN 1 ELSE 0 END)::BIGINT AS num_hits FROM events")
 def streaming_incremental_index(spark, sf_dir):
     """events read as a stream, indexed batch by batch."""
-    import uuid
-
     from .streaming.incremental import index_stream
 
     table = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(table).schema
-    root = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
+    root = _new_root(spark, "stream")
     # a file source reads folders; the glob keeps this table only
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir) if table.endswith(".parquet") else None
     first = spark.read.parquet(table).agg(F.min("event_type")).first()[0]
