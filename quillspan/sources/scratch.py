@@ -4,20 +4,26 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_scopes: list[list[str]] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where the session names none (tests) is one made here."""
+    """The cluster's shared folder: what spark.checkpoint.dir or the context names. Only a session on this machine
+    alone (tests) gets a folder of its own; on a cluster executors could not share one, so there it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        app = spark.sparkContext.applicationId
-        if app not in _own:
-            _own[app] = "file://" + tempfile.mkdtemp(prefix="quillspan-")
-        base = _own[app]
+        context = spark.sparkContext
+        base = context.getCheckpointDir() or _own.get(context.applicationId)
+        if not base:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            base = _own[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="quillspan-")
     return base.rstrip("/")
 
 
@@ -25,7 +31,30 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: lineage is cut, lost executors cost no rerun."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes at its end the tables written inside it, but for those handed to the function that it gives."""
+    _scopes.append([])
+
+    def keep(table: DataFrame) -> DataFrame:
+        _scopes[-1].remove(table._scratch_path)
+        return table
+
+    try:
+        yield keep
+    finally:
+        for path in _scopes.pop():
+            remove(spark, path)
