@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import materialize
+from ..sources.scratch import materialize, remove
 
 #: Rows up to which an id list may be broadcast (8 bytes each in a hashed relation of about 64 MB at most).
 BROADCAST_IDS = 500_000
@@ -26,11 +26,8 @@ def reread(table: DataFrame) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Delete scratch tables that nothing reads any more."""
     for t in tables:
-        path = getattr(t, "_scratch_path", None)
-        if path:
-            jvm = t.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+        if path := getattr(t, "_scratch_path", None):
+            remove(t.sparkSession, path)
 
 
 def partitions(spark: SparkSession, units: int, per_partition: int) -> int:
@@ -255,7 +252,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     edges: two long columns u and v, any orientation, loops and repeats allowed. Each partition first keeps only a
     forest of its edges; alternating large-star and small-star rounds then end in stars after few rounds. Every
-    round is a written table, so a lost executor repeats one round at most.
+    round is a written table, so a lost executor repeats one round at most. The joins look up one row a node, so a hub
+    is skewed on one side only, which adaptive execution splits.
     """
     e = edges.where("u <> v").mapInPandas(_forest, "u long, v long")
     e = materialize(e.distinct(), "cc")
