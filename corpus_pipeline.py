@@ -10,11 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.llm import decontaminate, mixing, ngram_join, sharding, toxicity
-from quillspan.llm.common import anti_join_ids, materialize, row_name
+from quillspan.llm.common import anti_join_ids, discard, materialize, row_name
+from quillspan.sources.scratch import temporary
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: documents that the factorization machine predicts toxic go."""
+    """Operator 10: documents that the factorization machine predicts toxic go.
+
+    Rows are judged one by one: null ids and repeated rows pass as they are; null and empty texts score a constant; no
+    documents give none; without usable labels the constant decides.
+    """
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -22,7 +27,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Operator 4: of each group of linked documents the one with the least id stays.
 
     Of rows that share this id, the one with the least name stays, whatever their texts; of rows equal throughout, one.
-    Rows with a null id always stay, as no id can name them.
+    Rows with a null id always stay, as no id can name them, and so do null and wordless texts, which are like nothing.
+    No documents give none.
     """
     named = docs.withColumn("__row", row_name(docs))
     # a null id stays a null struct, which the join passes over as least
@@ -39,13 +45,19 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: documents that hold a benchmark item go."""
+    """Operator 5: documents that hold a benchmark item go.
+
+    Rows are judged one by one: null ids and repeated rows pass as they are; null, empty and wordless texts stay; no
+    documents give none, no items drop none.
+    """
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: every document as often as the mix takes it, to whole documents (the straddler is rounded).
 
+    Texts without words have nothing to take and go; no documents give none.
+
     Rows are told apart by all their columns, so null and repeated ids are mixed like any other; rows equal throughout
     come out as often as the mix takes them together.
     """
@@ -57,7 +69,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: virtual slot and shard of every document; the session's quillspan.shard.map names a kept map's path."""
+    """Operator 1: virtual slot and shard of every document; the session's quillspan.shard.map names a kept map's path.
+
+    Null ids and texts count as empty, repeated rows share a slot, no documents give none.
+    """
     return sharding.assign_shards(docs, map_path=spark.conf.get("quillspan.shard.map", None))[0]
 
 
@@ -68,8 +83,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; every stage's result is a written table."""
+    """All stages over documents; every stage's result is a written table, and what a stage needed is deleted after it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        with temporary(spark) as keep:
+            docs = keep(materialize(stage(spark, docs, sf_dir), f"stage-{name}"))
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
