@@ -610,3 +610,34 @@ def test_kept_slot_map(spark, tmp_path):
     assert sharding.SlotMap.load(spark, path).version == 3
     with pytest.raises(ValueError):
         sharding.shard_documents(docs(spark, rows), slots=8, map_path=path)
+
+
+def test_every_stage_takes_awkward_tables(spark, tmp_path):
+    """Null ids and texts, repeated rows and ids, a null in every column; and no documents at all."""
+    from collections import Counter
+
+    import corpus_pipeline
+
+    rng = random.Random(17)
+    text = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    rows = [(None, text(40), "en", "s1", 1), (None, text(40), None, None, None), (1, None, "en", "s0", 0), (2, "", "en", "s0", 0), (2, " \n", "en", "s0", 2), (3, text(30), "en", None, None)]
+    rows += [(4, text(50), "en", "s0", 5)] * 2 + [(5, text(12), "en", "s1", 5), (5, text(13), "en", "s1", 5), (None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    base = f"file://{tmp_path}"
+    spark.createDataFrame([(4, 1, 0), (5, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{base}/labels.parquet")
+    spark.createDataFrame([(0, "an item of the benchmark that none of them holds"), (1, None)], "item_id long, text string").write.parquet(f"{base}/benchmark.parquet")
+    want = {
+        "toxicity": Counter(rows),
+        "ngram_join": Counter(rows) - Counter([rows[6]]),
+        "decontamination": Counter(rows),
+    }
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, df, base)
+        got = Counter(tuple(r)[:5] for r in out.collect())
+        if name in want:
+            assert got == want[name]
+        elif name == "mixing":
+            assert set(got) <= {r for r in rows if r[1] and r[1].strip()} and len(got) >= 5
+        else:
+            assert got == Counter(rows)
+        assert stage(spark, df.limit(0), base).count() == 0
