@@ -122,7 +122,7 @@ def single_terms(s: Sample) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     keep = (df >= MIN_ROWS) & (df < n)
     vocab, df = vocab[keep], df[keep].astype(float)
     idx, rows = s.places(vocab)
-    hit = np.bincount(idx, s.labels[rows], len(vocab))
+    hit = np.bincount(idx[(s.labels > 0)[rows]], minlength=len(vocab)).astype(float)
     return vocab, df, hit, (hit - df * pos / n) ** 2 / (df * (pos / n) * (1 - pos / n) * (1 - df / n))
 
 
@@ -141,24 +141,23 @@ def pair_terms(s: Sample, vocab: np.ndarray, df: np.ndarray, hit: np.ndarray) ->
         return np.zeros(0, np.uint32)
     idx, rows = s.places(vocab[top])
     bounds = np.searchsorted(rows, np.arange(0, n + 1024, 1024))
-    both, ones = np.zeros((m, m), np.float32), np.zeros((m, m), np.float32)
-    for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-        block = np.zeros((min(1024, n - 1024 * k), m), np.float32)
-        block[rows[a:b] - 1024 * k, idx[a:b]] = 1
-        both += block.T @ block
-        block = block[s.labels[1024 * k : 1024 * (k + 1)] > 0]
-        ones += block.T @ block
     share = (hit[top] / df[top]).astype(np.float32)
     out = np.zeros(m, bool)
-    for i in range(0, m, 512):  # a stripe of the table at a time
+    for i in range(0, m, 512):  # a stripe of the table of pairs at a time
+        both, ones = np.zeros((len(top[i : i + 512]), m), np.float32), np.zeros((len(top[i : i + 512]), m), np.float32)
+        for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+            block = np.zeros((min(1024, n - 1024 * k), m), np.float32)
+            block[rows[a:b] - 1024 * k, idx[a:b]] = 1
+            both += block[:, i : i + 512].T @ block
+            block = block[s.labels[1024 * k : 1024 * (k + 1)] > 0]
+            ones += block[:, i : i + 512].T @ block
         x, z = np.broadcast_arrays(share[i : i + 512, None], share[None, :])
         both_add = x + z - base
-        c, y = both[i : i + 512], ones[i : i + 512]
         # terms that go together anyway are no pair: a share anywhere between one term's own and the sum is expected
-        e = np.clip(y / np.maximum(c, 1), np.minimum(np.minimum(x, z), both_add), np.maximum(np.maximum(x, z), both_add))
+        e = np.clip(ones / np.maximum(both, 1), np.minimum(np.minimum(x, z), both_add), np.maximum(np.maximum(x, z), both_add))
         e = np.clip(e, base / 10, 1 - (1 - base) / 10)
-        var = c * e * (1 - e)
-        odd = (c >= MIN_ROWS) & (var >= 2) & ((y - c * e) ** 2 >= PAIR_CHI2 * var)
+        var = both * e * (1 - e)
+        odd = (both >= MIN_ROWS) & (var >= 2) & ((ones - both * e) ** 2 >= PAIR_CHI2 * var)
         odd[np.arange(len(odd)), np.arange(i, i + len(odd))] = False
         out[i : i + 512] |= odd.any(1)
         out |= odd.any(0)
