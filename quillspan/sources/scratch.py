@@ -8,6 +8,10 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Document numbers up to which a list is broadcast: 16 bytes each in a hashed relation.
+BROADCAST_IDS = 2_000_000
 
 _own: dict[str, str] = {}
 _scopes: list[list[str]] = []
@@ -27,18 +31,25 @@ def scratch_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: lineage is cut, lost executors cost no rerun."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     if _scopes:
         _scopes[-1].append(path)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
 
 
+def without_ids(df: DataFrame, key: str, drop: DataFrame, count: int | None = None) -> DataFrame:
+    """df without the rows whose key is in drop (one column of that name). Lists of up to BROADCAST_IDS, by count or counted, are
+    broadcast, so that no text is shuffled."""
+    small = (drop.count() if count is None else count) <= BROADCAST_IDS
+    return df.join(F.broadcast(drop) if small else drop, key, "left_anti")
+
+
 def remove(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)

@@ -1,8 +1,9 @@
 """An index on shared storage: immutable segment folders, versioned metadata, one pointer that moves.
 
-Layout under the root: docs/seg=N, postings/seg=N (sorted by term), tombs/t=N (numbers of replaced and deleted
+Layout under the root: docs/seg=N, postings/seg=N (counts, in runs sorted by term), tombs/t=N (numbers of replaced and deleted
 documents), meta/V.json and CURRENT. Readers follow CURRENT and keep a consistent snapshot; a writer holds LOCK. What
-neither the current version nor the one before names is deleted with each commit, so a reader outlives one commit.
+neither the current version nor the one before names is deleted with each commit, and the one before as the next commit
+begins, so a reader outlives one commit.
 """
 
 from __future__ import annotations
@@ -14,19 +15,21 @@ import time
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.analysis import Language
 from ..operators.compaction import segments_to_merge
-from ..operators.postings import DATE_TYPE, make_docs, make_postings
+from ..operators.postings import DATE_TYPE, POSTING_FILES, doc_stats, make_counts, make_docs, with_lengths
 from ..operators.search import Index
 from ..plans.schema import IndexSchema
 from .document import Document
+from .scratch import without_ids
 
 
 #: Row group of stored documents: what a page lookup reads for a hit, and the least that a task analyses.
-DOC_BLOCK = 4 << 20
+DOC_FILES = {"parquet.block.size": 4 << 20, "compression": "zstd"}
 
 
 class Files:
@@ -124,10 +127,13 @@ def open_index(spark: SparkSession, root: str, lang: Language | None = None, cac
     docs, postings = (_load(spark, root, meta, t, segments) for t in ("docs", "postings"))
     tombs = _tombs(spark, root, meta)
     if tombs is not None:
-        docs, postings = docs.join(tombs, "doc_num", "left_anti"), postings.join(tombs, "doc_num", "left_anti")
+        number = tombs.count()
+        docs, postings = (without_ids(df, "doc_num", tombs, number) for df in (docs, postings))
     if cache_postings:
-        postings = postings.persist()
-    return Index(IndexSchema.from_dict(meta["schema"]), docs, postings, lang, meta["num_docs"])
+        # what memory can't hold is read again: it lies on disk already
+        postings = postings.persist(StorageLevel.MEMORY_ONLY)
+    schema = IndexSchema.from_dict(meta["schema"])
+    return Index(schema, docs.drop("added", *[f"n_{f.name}" for f in schema.scored]), postings, lang, meta["num_docs"], stats=doc_stats(docs, schema))
 
 
 class IndexWriter:
@@ -164,7 +170,8 @@ class IndexWriter:
             first = (max([s["id"] for s in old["segments"]], default=-1) + 1) if old else 0
             self.meta = {"segments": [], "tombs": [], "next_seg": old["next_seg"] if old else first, "next_doc": 0, "num_docs": 0, "batches": {}}
         self.added: list[DataFrame] = []
-        self.deleted: list[DataFrame] = []
+        self.numbered: set[int] = set()
+        self.deleted: list[tuple[DataFrame, int]] = []
         self.single: list[Document] = []
 
     def define_field(self, name: str, **flags) -> IndexWriter:
@@ -176,7 +183,10 @@ class IndexWriter:
         self.schema.frozen = True
         # each call numbers its rows after those of earlier calls
         base = self.meta["next_doc"] + (len(self.added) << 52 if doc_num is None else 0)
-        self.added.append(make_docs(df, self.schema, id_col, columns, dt, sortstring, doc_num, base))
+        if doc_num is not None:
+            self.numbered.add(len(self.added))
+        # the call's number tells which deletions of the session came later
+        self.added.append(make_docs(df, self.schema, id_col, columns, dt, sortstring, doc_num, base).withColumn("added", F.lit(len(self.added))))
         return self
 
     def new_doc(self, doc_id) -> Document:
@@ -203,10 +213,12 @@ class IndexWriter:
         for d in reversed(self.single):
             if d.doc_id == key:
                 return {f: d.get_field(f) or "" for f in self.schema.stored}
-        pending = [(a.where(F.col("doc_md5") == digest), True) for a in reversed(self.added)]
-        if self.meta["segments"] and not any(d.where(F.col("doc_md5") == digest).limit(1).count() for d in self.deleted):
-            pending.append((open_index(self.spark, self.root).docs.where(F.col("doc_md5") == digest), False))
-        for found, _ in pending:
+        # the last deletion of the id hides what was there before it
+        since = max((k for d, k in self.deleted if d.where(F.col("doc_md5") == digest).limit(1).count()), default=-1)
+        pending = [a.where(F.col("doc_md5") == digest) for k, a in reversed(list(enumerate(self.added))) if k >= since]
+        if self.meta["segments"] and since < 0:
+            pending.append(open_index(self.spark, self.root).docs.where(F.col("doc_md5") == digest))
+        for found in pending:
             row = found.orderBy(F.desc("doc_num")).select(*[F.col(f"f_{f}").alias(f) for f in self.schema.stored], "doc_num").first()
             if row:
                 return {f: row[f] for f in self.schema.stored}
@@ -229,8 +241,9 @@ class IndexWriter:
         else:
             self._gather_single()
         gone = ids.select(F.md5(F.col(ids.columns[0]).cast("string")).alias("doc_md5"))
-        self.added = [a.join(gone, "doc_md5", "left_anti").select(a.columns) for a in self.added]
-        self.deleted.append(gone)
+        # those with numbers of their own go at once, as their numbers may come again; the rest is buried by the commit
+        self.added = [without_ids(a, "doc_md5", gone).select(a.columns) if k in self.numbered else a for k, a in enumerate(self.added)]
+        self.deleted.append((gone, len(self.added)))
         return self
 
     def _gather_single(self) -> None:
@@ -254,12 +267,14 @@ class IndexWriter:
         if batch and meta["batches"].get(batch[0], -1) >= batch[1]:
             self.close()
             return meta
+        # the version before the current one has outlived a commit; so two versions at most lie here at once
+        self._purge(self.before)
         seg, segments = meta["next_seg"], meta["segments"]
         merge = segments_to_merge(self.level, [s["live"] for s in segments]) if segments and self.added else []
         merged, kept = [segments[k]["id"] for k in merge], [s for k, s in enumerate(segments) if k not in merge]
         spark, root = self.spark, self.root
         fresh = None
-        gone = [d for d in self.deleted]
+        gone = [d for d, _ in self.deleted]
         paths = [f"{root}/docs/seg={s['id']}" for s in segments]
         old = spark.read.option("basePath", f"{root}/docs").parquet(*paths).select("doc_num", "doc_md5", "seg") if paths else None
         dead = _tombs(spark, root, meta)
@@ -268,17 +283,20 @@ class IndexWriter:
         buried: list[DataFrame] = []
         lost: dict[int, int] = {}
         if self.added:
-            self._write(reduce(DataFrame.unionByName, self.added), f"docs/seg={seg}")
+            self._write(with_lengths(reduce(DataFrame.unionByName, self.added), self.schema, self.lang), f"docs/seg={seg}")
             fresh = spark.read.parquet(f"{root}/docs/seg={seg}")
             # of rows with one id all but the last are buried at once: no shuffle of texts
             last = fresh.groupBy("doc_md5").agg(F.max("doc_num").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
             buried.append(fresh.select("doc_num", "doc_md5").join(last, "doc_md5").where("doc_num < last").select("doc_num", F.lit(seg).alias("seg")))
+            for ids, k in self.deleted:
+                if k:
+                    buried.append(fresh.where(F.col("added") < k).join(ids, "doc_md5", "left_semi").select("doc_num", F.lit(seg).alias("seg")))
             gone.append(fresh.select("doc_md5"))
         if gone and old is not None:
             buried.append(old.join(reduce(DataFrame.union, gone).distinct(), "doc_md5", "left_semi").select("doc_num", F.col("seg").cast("int").alias("seg")))
         tombs = list(meta["tombs"]) if len(merged) < len(segments) else []
         if buried:
-            reduce(DataFrame.union, buried).write.mode("overwrite").parquet(f"{root}/tombs/t={seg}")
+            reduce(DataFrame.union, buried).distinct().write.mode("overwrite").parquet(f"{root}/tombs/t={seg}")
             lost = {r.seg: r["count"] for r in spark.read.parquet(f"{root}/tombs/t={seg}").groupBy("seg").count().collect()}
             if lost:
                 tombs.append(seg)
@@ -286,15 +304,15 @@ class IndexWriter:
             else:  # readers then need no join
                 self.files.delete(f"tombs/t={seg}")
         if fresh is not None:
-            live = fresh.join(dead, "doc_num", "left_anti") if dead is not None else fresh
-            postings = make_postings(live, self.schema, self.lang)
+            number = dead.count() if dead is not None else 0
+            live = without_ids(fresh, "doc_num", dead, number) if number else fresh
+            postings = make_counts(live.drop(*[f"n_{f.name}" for f in self.schema.scored]), self.schema, self.lang)
             if merged:
                 part = {t: _load(spark, root, meta, t, merged) for t in ("docs", "postings")}
-                if dead is not None:
-                    part = {t: df.join(dead, "doc_num", "left_anti") for t, df in part.items()}
+                if number:
+                    part = {t: without_ids(df, "doc_num", dead, number) for t, df in part.items()}
                 self._write(part["docs"].select(fresh.columns), f"docs/seg={seg}", "append")
                 postings = postings.unionByName(part["postings"])
-            postings = postings.repartitionByRange(F.col("term"), F.col("doc_num")).sortWithinPartitions("term", "sortstring", "dt", "doc_num")
             self._write(postings, f"postings/seg={seg}")
             kept = [*kept, {"id": seg, "live": 0}]
         ids = [s["id"] for s in kept]
@@ -322,16 +340,14 @@ class IndexWriter:
         return meta
 
     def _write(self, df: DataFrame, name: str, mode: str = "overwrite") -> None:
-        writer = df.write.mode(mode)
-        if name.startswith("docs/"):
-            writer = writer.option("parquet.block.size", DOC_BLOCK)
+        writer = df.write.mode(mode).options(**(POSTING_FILES if name.startswith("postings/") else DOC_FILES))
         if self.max_records:
             writer = writer.option("maxRecordsPerFile", self.max_records)
         writer.parquet(f"{self.root}/{name}")
 
-    def _purge(self, meta: dict) -> None:
-        """Delete what neither this version nor the one before names: merged and overwritten segments, old tombstones."""
-        named = [meta, *([self.before] if self.before else [])]
+    def _purge(self, meta: dict | None) -> None:
+        """Delete what neither this version nor the one before the session names: merged and overwritten segments, old tombstones."""
+        named = [m for m in (meta, self.before) if m]
         segments = {f"seg={s['id']}" for m in named for s in m["segments"]}
         keep = {"docs": segments, "postings": segments, "tombs": {f"t={t}" for m in named for t in m["tombs"]}, "meta": {f"{m['version']}.json" for m in named}}
         for folder, names in keep.items():
