@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import abc
 import re
+from array import array
 from collections.abc import Callable, Iterable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,9 +66,13 @@ class Language(abc.ABC):
         functions could only sum the lengths before each token anew, which is quadratic in long texts."""
         pattern = re.compile(self.token_pattern)
 
-        @F.pandas_udf("array<int>")
-        def run(col: pd.Series) -> pd.Series:
-            return col.map(lambda t: None if t is None else [m.start() for m in pattern.finditer(t)])
+        @F.arrow_udf("array<int>")
+        def run(col: pa.Array) -> pa.Array:
+            starts, ends = array("i"), [0]
+            for text in col:
+                starts.extend(m.start() for m in pattern.finditer(text.as_py() or ""))
+                ends.append(len(starts))
+            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.asarray(starts, np.int32)), mask=pc.is_null(col))
 
         return run(c)
 
@@ -83,14 +89,14 @@ class Language(abc.ABC):
             return tokens
         word = self.stem_word
 
-        @F.pandas_udf("array<string>")
-        def run(col: pd.Series) -> pd.Series:
-            lists = [() if ts is None else ts for ts in col]
-            # each distinct token of a batch is stemmed once
-            number, words = pd.factorize(np.concatenate([np.empty(0, object), *(np.asarray(t, object) for t in lists)]))
-            stems = np.array([word(w) for w in words] or [""], object)[number] if len(number) else np.empty(0, object)
-            parts = np.split(stems, np.cumsum([len(t) for t in lists])[:-1]) if lists else []
-            return pd.Series([None if ts is None else list(p) for ts, p in zip(col, parts, strict=True)], index=col.index, dtype=object)
+        @F.arrow_udf("array<string>")
+        def run(col: pa.Array) -> pa.Array:
+            # each distinct token of a batch is stemmed once; lists stay in Arrow, a few bytes a token
+            coded = col.flatten().dictionary_encode()
+            stems = pa.array([None if w is None else word(w) for w in coded.dictionary.to_pylist()], pa.string())
+            sizes = np.asarray(pc.fill_null(pc.list_value_length(col), 0), np.int64)
+            ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+            return pa.ListArray.from_arrays(ends, stems.take(coded.indices), mask=pc.is_null(col))
 
         return run(tokens)
 
