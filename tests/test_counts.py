@@ -1,10 +1,14 @@
 """What is counted where documents are read, and what an index must not move."""
 
+import random
+import re
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quillspan import IndexWriter, Query, Searcher, open_index
 from quillspan.functions.analysis import English, Plain
-from quillspan.operators.postings import make_counts, make_docs, make_postings, term_totals
+from quillspan.operators.postings import make_counts, make_docs, make_postings, term_totals, with_lengths
 from quillspan.operators.search import Index
 from quillspan.plans.schema import IndexSchema
 
@@ -116,3 +120,33 @@ def test_lists_stay_in_arrow(spark):
     assert [tuple(r) for r in tokens.collect()] == [([2, 10], ["é", "run", "dog"]), ([], [""]), (None, None)]
     # 200 is the number of pandas functions, whose lists are objects of Python
     assert ", 200" not in tokens._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_words_of_texts_equal_the_patterns():
+    pick = random.Random(5)
+    for lang in (Plain(), English()):
+        for _ in range(200):
+            texts = [pick.choice([None, "", "".join(pick.choice("ab'' _9éK\n-") for _ in range(pick.randrange(30)))]) for _ in range(pick.randrange(9))]
+            words, row = lang.words(pa.array(["z'z", *texts, "z"], pa.string()).slice(1, len(texts)))
+            assert list(zip(row.tolist(), words.to_pylist(), strict=True)) == [(k, w) for k, t in enumerate(texts) for w in re.findall(lang.token_pattern, t or "")]
+    assert Plain().set_tokenizer(lambda c: F.split(c, " ")).words is None
+
+
+def test_texts_are_split_in_arrow(spark):
+    for schema in (body(), body(language="En")):
+        df = docs(spark, schema)
+        assert "regexp_extract_all" not in plan(make_counts(df, schema)) + plan(make_postings(df, schema)) + plan(with_lengths(df, schema)) + plan(term_totals(df, schema, 3))
+    df = docs(spark, body(), [(0, "a \t b\x0b"), (1, "\n\n"), (2, " a\u00a0 \r\nb  c d")])
+    assert [r.f_body for r in df.orderBy("doc_num").collect()] == ["a b", "", "a\u00a0 b c d"]
+    assert {(r.doc_num, r.n_body, r.n_tag) for r in make_counts(df, body(), keep=("doc_num", "n_body", "n_tag")).collect()} == {(0, 2, 1), (1, 0, 1), (2, 4, 1)}
+    assert {(r.doc_num, r.n_body, r.n_tag) for r in with_lengths(df, body()).collect()} == {(0, 2, 1), (1, 0, 1), (2, 4, 1)}
+
+
+def test_null_empty_and_spaced_terms_make_pairs_once():
+    from quillspan.operators import postings
+
+    batch = pa.RecordBatch.from_pydict({"stem_x": pa.array([["a", None, None, "b"], ["", "a b", "a", "b"]]), "text_y": pa.array(["a b", "b"])})
+    rows = postings._count(batch.append_column("id", pa.array([0, 1])), ["id"], [("x", False, True, None), ("y", False, False, (Plain(), False, False, None))]).to_pylist()
+    got = {(r["term"], r["id"]): (r["c_x"], r["c_y"]) for r in rows}
+    assert len(got) == len(rows) and got["a b", 0] == (None, 1) and got["", 0] == (1, None) and got["a", 0] == (2, None) and got["b", 0] == (2, None)
+    assert got["a b", 1] == (2, None) and got["b", 1] == (1, 1) and got[" a b", 1] == (1, None) and got["a b a", 1] == (1, None)
