@@ -15,7 +15,6 @@ import time
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -118,7 +117,8 @@ def _tombs(spark: SparkSession, root: str, meta: dict) -> DataFrame | None:
 
 
 def open_index(spark: SparkSession, root: str, lang: Language | None = None, cache_postings: bool = False) -> Index:
-    """The current version of an index. cache_postings keeps its postings in the executors' memory between searches."""
+    """The current version of an index. cache_postings keeps the postings of the terms searched for in the executors' memory
+    between searches."""
     root = root.rstrip("/")
     meta = read_meta(Files(spark, root))
     if meta is None:
@@ -129,11 +129,8 @@ def open_index(spark: SparkSession, root: str, lang: Language | None = None, cac
     if tombs is not None:
         number = tombs.count()
         docs, postings = (without_ids(df, "doc_num", tombs, number) for df in (docs, postings))
-    if cache_postings:
-        # what memory can't hold is read again: it lies on disk already
-        postings = postings.persist(StorageLevel.MEMORY_ONLY)
     schema = IndexSchema.from_dict(meta["schema"])
-    return Index(schema, docs.drop("added", *[f"n_{f.name}" for f in schema.scored]), postings, lang, meta["num_docs"], stats=doc_stats(docs, schema))
+    return Index(schema, docs.drop("added", *[f"n_{f.name}" for f in schema.scored]), postings, lang, meta["num_docs"], stats=doc_stats(docs, schema), cache=cache_postings)
 
 
 class IndexWriter:
