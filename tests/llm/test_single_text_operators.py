@@ -172,6 +172,21 @@ def test_token_counts(spark):
     assert token_counts.count_tokens(table(spark, [])).count() == 0
 
 
+def test_token_counts_in_columns(spark, monkeypatch):
+    trie = token_counts.TokenTrie(token_counts.load_pieces())
+    table_of = token_counts.PieceTable(trie)
+    rng = random.Random(4)
+    words = ["".join(rng.choice("etaonhéx日\0😀") for _ in range(rng.randint(1, 80))) for _ in range(2000)]
+    words += ["a", "a\0", "a\0b", "a\0\0", "the", "them", "theme", "the", "e" * 63, "e" * 64, "e" * 65]
+    monkeypatch.setattr(token_counts, "CELLS", 64 * 300)
+    expected = [trie.count(w) for w in words]
+    met = []
+    monkeypatch.setattr(trie, "count", lambda w, count=trie.count: met.append(w) or count(w))
+    assert table_of.count(words).tolist() == expected
+    assert set(met) == {w for w in words if len(w) >= token_counts.DEPTH}  # the others are counted at once, not one by one
+    assert token_counts.PieceTable(token_counts.TokenTrie({})).count(["a", "日"]).tolist() == [4, 6]
+
+
 FULL = {p: t for p, t in licenses.known_texts() if t.count(" ") > 40}
 
 
